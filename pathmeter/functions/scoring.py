@@ -102,11 +102,3 @@ def with_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """
     return df.join(thresholds, "site_id")
 
-
-def literal_thresholds(t: P.Thresholds = P.Thresholds()) -> dict[str, Column]:
-    return {
-        "peer_warning": F.lit(t.peer_warning),
-        "peer_critical": F.lit(t.peer_critical),
-        "dns_warning": F.lit(t.dns_warning),
-        "dns_critical": F.lit(t.dns_critical),
-    }

@@ -75,27 +75,23 @@ def prefix_scan(
     if levels <= 1:
         window = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, agg(value).over(window))
-    blocked = df.withColumn("_block", whole_div(pos, block))
-    window = (
-        Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = blocked.groupBy(*keys, "_block").agg(agg(value).alias("_total"))
-    carries = prefix_scan(totals, keys, "_block", "_total", how, "_carry", block, levels - 1).select(
-        *keys, "_block", "_carry"
-    )
-    inner = F.col("_inner")
-    carry = F.col("_carry")
+    names = [f"_{n}{levels}" for n in ("block", "total", "carry", "inner")]
+    at, total, carry, inner = names
+    blocked = df.withColumn(at, whole_div(pos, block))
+    window = Window.partitionBy(*keys, at).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys, at).agg(agg(value).alias(total))
+    carries = prefix_scan(totals, keys, at, total, how, carry, block, levels - 1)
     if how == "sum":
-        merged = F.when(inner.isNull(), carry).when(carry.isNull(), inner).otherwise(inner + carry)
-    else:
+        merged = F.coalesce(F.col(inner) + F.col(carry), inner, carry)
+    elif _ascending_payload(df, value):
         merged = F.coalesce(inner, carry)
-        if not _ascending_payload(df, value):
-            merged = F.greatest(inner, carry)
+    else:
+        merged = F.greatest(inner, carry)
     return (
-        blocked.withColumn("_inner", agg(value).over(window))
-        .join(carries, [*keys, "_block"])
+        blocked.withColumn(inner, agg(value).over(window))
+        .join(carries.select(*keys, at, carry), [*keys, at])
         .withColumn(out, merged)
-        .drop("_block", "_inner", "_carry")
+        .drop(at, inner, carry)
     )
 
 
