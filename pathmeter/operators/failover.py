@@ -336,9 +336,9 @@ def replay(cycles: DataFrame, starts: DataFrame, params: FailoverParams) -> Data
     The state before the switch is reported, ``new`` is set only on a switch.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cycle")
-        first = pdf.iloc[0]
+        first = begin.iloc[0]
         state = (int(first["start_current"]), int(first["start_candidate"]), int(first["start_count"]))
         current, reason, count, new, candidate = [], [], [], [], []
         for best, over, bad in zip(pdf["best"].tolist(), pdf["over"].tolist(), pdf["bad"].tolist()):
@@ -351,7 +351,7 @@ def replay(cycles: DataFrame, starts: DataFrame, params: FailoverParams) -> Data
             candidate.append(state[1])
         return pd.DataFrame(
             {
-                "site_id": pdf["site_id"].to_numpy(),
+                "site_id": key[0],
                 "cycle": pdf["cycle"].to_numpy(),
                 "current": current,
                 "reason": reason,
@@ -361,10 +361,12 @@ def replay(cycles: DataFrame, starts: DataFrame, params: FailoverParams) -> Data
             }
         )
 
+    # Cogrouping keeps the cycles where the smoothing shuffle has put them; only
+    # the start states move.
     return (
         cycles.select("site_id", "_chunk", "cycle", "best", "over", "bad")
-        .join(starts.withColumnRenamed("pos", "_chunk"), ["site_id", "_chunk"])
         .groupBy("site_id", "_chunk")
+        .cogroup(starts.withColumnRenamed("pos", "_chunk").groupBy("site_id", "_chunk"))
         .applyInPandas(run, DECISION)
     )
 

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their reference SQL."""
 
-from pathmeter.plans import measure, reports, selection
+from pathmeter.plans import calibrate, measure, reports, selection
 from pathmeter.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "measure", "reports", "selection"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calibrate", "measure", "reports", "selection"]
