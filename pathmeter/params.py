@@ -50,7 +50,7 @@ BANDS = [
 
 # Headings of the change-history table.
 CHANGE_HEADINGS = {
-    "@timestamp": "Time",
+    "ts": "Time",
     "change_reason": "Causa",
     "current_provider": "Actual",
     "cycle": "Ciclo",
