@@ -69,6 +69,11 @@ def cut(value: Column | str, digits: int = 2) -> Column:
     return F.when(F.abs(x) < 1e15, finite).otherwise(x)
 
 
+def hundredths(value: Column | str) -> Column:
+    """Whole hundredths of a figure with two decimals; their sums are exact."""
+    return F.floor(_col(value) * 100.0 + 0.5).cast("bigint")
+
+
 def impute_failed(df: DataFrame, failed: str = "failed") -> DataFrame:
     """Replace every metric of a failed measurement by the penalty row."""
     return df.withColumns(

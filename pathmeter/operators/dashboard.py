@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pathmeter import params as P
 from pathmeter.functions import scoring
-from pathmeter.params import Thresholds
+from pathmeter.operators import failover
+from pathmeter.params import CHUNK, Thresholds
 
 # Source column of each stored figure.
 _FIGURES = {
@@ -40,31 +41,59 @@ def reported(smoothed: DataFrame, limits: Thresholds = Thresholds(), loss_limit:
     )
 
 
-def one_row_per_cycle(rows: DataFrame, providers: list[str]) -> DataFrame:
-    """Pivot to one row per cycle with columns prefixed by the lower-case name.
+def wide_figures(scored: DataFrame, providers: list[str], rows: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """Smoothed score and metrics of every provider side by side, in one shuffle."""
+    values = {m: F.col(m) for m in ("score", *P.METRICS)}
+    missing = {"score": failover.penalty_score(), **P.PENALTY}
+    needed = scored.select("site_id", "cycle", "provider", "ts", *values)
+    latest = [F.max("ts").alias("ts")]
+    wide = failover.wide_cycles(needed, providers, values, missing, "score", rows, chunk, latest)
+    return wide.withColumnsRenamed({f"avg_{i}": f"smoothed_{i}" for i in range(len(providers))})
 
-    The providers are given, so no extra job looks for them, and one plain
-    aggregation does it.
+
+def one_row_per_cycle(
+    wide: DataFrame,
+    providers: list[str],
+    versions: list[str],
+    limits: Thresholds = Thresholds(),
+    loss_limit: float = 20.0,
+) -> DataFrame:
+    """Reported figures per cycle, in columns prefixed by the lower-case name.
+
+    Works on :func:`wide_figures` and on the output of the selection stream.
     """
-    fields = [f for f in P.DOCUMENT_FIELDS if f in rows.columns]
-    return rows.groupBy("site_id", "cycle").agg(
-        F.max("ts").alias("ts"),
-        *[
-            F.max(F.when(F.col("provider") == p, F.col(f))).alias(f"{p.lower()}_{f}")
-            for p in providers
-            for f in fields
-        ],
-    )
+    fields: dict[str, Column] = {}
+    for i, (provider, version) in enumerate(zip(providers, versions)):
+        fields.update(_figures(i, provider.lower(), version, limits, loss_limit))
+    used = {f"{name}_{i}" for i in range(len(providers)) for name in ("smoothed", "score", *P.METRICS)}
+    kept = [c for c in wide.columns if c not in used and c != "_chunk"]
+    return wide.select(*kept, *[v.alias(name) for name, v in fields.items()])
+
+
+def _figures(i: int, prefix: str, version: str, limits: Thresholds, loss_limit: float) -> dict[str, Column]:
+    def at(name: str) -> Column:
+        return F.col(f"{name}_{i}")
+
+    worst_loss = F.greatest(at("peer_loss"), at("dns_loss"))
+    out = {f"{prefix}_{name}": scoring.cut(at(source)) for name, source in _FIGURES.items()}
+    out |= {
+        f"{prefix}_ip_version": scoring.ip_version_label(F.lit(version)),
+        f"{prefix}_is_healthy": worst_loss < loss_limit,
+        f"{prefix}_has_latency_warning": (at("peer_avg") >= limits.peer_warning) | (at("dns_avg") >= limits.dns_warning),
+        f"{prefix}_has_latency_critical": (at("peer_avg") >= limits.peer_critical)
+        | (at("dns_avg") >= limits.dns_critical),
+        f"{prefix}_has_packet_loss": worst_loss > 0.0,
+    }
+    return out
 
 
 def cycle_documents(
-    rows: DataFrame, decisions: DataFrame, changes: DataFrame, providers: list[str]
+    per_cycle: DataFrame, decisions: DataFrame, changes: DataFrame, providers: list[str]
 ) -> DataFrame:
     """One document per cycle with the state before a switch takes effect."""
     previous = changes.select("site_id", "cycle", "previous_provider")
     joined = (
-        one_row_per_cycle(rows, providers)
-        .join(decisions, ["site_id", "cycle"])
+        per_cycle.join(decisions, ["site_id", "cycle"])
         .join(previous, ["site_id", "cycle"], "left")
         .withColumnRenamed("reason", "change_reason")
     )

@@ -66,61 +66,61 @@ def step(state: State, best: int, over: int, bad: int, params: FailoverParams) -
 # ------------------------------------------------------------- columns per cycle
 
 
-def smoothed_cycles(
-    measurements: DataFrame, providers: list[str], params: FailoverParams, chunk: int = CHUNK
+def wide_cycles(
+    measurements: DataFrame,
+    providers: list[str],
+    values: dict[str, Column],
+    missing: dict[str, object],
+    smooth: str,
+    rows: int,
+    chunk: int = CHUNK,
+    extra: list[Column] | None = None,
 ) -> DataFrame:
-    """One row per site and cycle with the smoothed score of every provider.
+    """One row per site and cycle, provider ``i``'s values as ``<name>_<i>``.
 
-    Columns ``avg_<i>`` (mean of the last ``history`` scores), ``loss_bad_<i>``
-    and ``strict_bad_<i>`` in the order of ``providers``. A provider without a row in a
-    cycle counts as failed. Cycles must be gap-free per site. All of it costs
-    one shuffle, on (site, chunk).
+    ``avg_<i>`` is the mean of value ``smooth`` over the last ``rows`` cycles. A
+    provider without a row in a cycle takes the ``missing`` values: it counts as
+    failed. ``extra`` are further aggregates of the cycle. Cycles must be
+    gap-free per site. All of it costs one shuffle, on (site, chunk).
     """
-    indexed = list(enumerate(providers))
-    t = params.thresholds
-    value = F.col("peer_avg") if params.mode == "warning" else scoring.quality_score()
+    others = [c for c in measurements.columns if c not in values and c != "provider"]
     flat = measurements.where(F.col("provider").isin(providers)).select(
-        "site_id",
-        "cycle",
-        "provider",
-        value.alias("_value"),
-        (~scoring.is_healthy(params.loss_limit)).alias("_loss_bad"),
-        (~scoring.is_strictly_healthy(F.lit(t.peer_critical), F.lit(t.dns_critical))).alias("_strict_bad"),
-    )
-    missing = float("inf") if params.mode == "warning" else penalty_score()
-    halo = ordered.add_halo(flat, "cycle", params.history - 1, chunk) if params.history > 1 else (
-        flat.withColumn("_chunk", ordered.whole_div("cycle", chunk)).withColumn("_halo", F.lit(False))
-    )
-    per_cycle = halo.repartition("site_id", "_chunk").groupBy("site_id", "_chunk", "cycle", "_halo").agg(
-        *[F.max(F.when(F.col("provider") == p, F.col("_value"))).alias(f"v_{i}") for i, p in indexed],
-        *[
-            F.max(F.when(F.col("provider") == p, F.col(flag))).alias(f"{flag[1:]}_{i}")
-            for i, p in indexed
-            for flag in ("_loss_bad", "_strict_bad")
-        ],
+        "provider", *others, *[v.alias(name) for name, v in values.items()]
     )
-    window = (
-        Window.partitionBy("site_id", "_chunk").orderBy("cycle").rowsBetween(-(params.history - 1), 0)
-    )
-    return (
-        per_cycle.select(
-            "site_id",
-            "_chunk",
-            "cycle",
-            "_halo",
-            *[
-                F.avg(F.coalesce(F.col(f"v_{i}"), F.lit(missing))).over(window).alias(f"avg_{i}")
-                for i, _ in indexed
-            ],
-            *[
-                F.coalesce(F.col(f"{flag}_{i}"), F.lit(True)).alias(f"{flag}_{i}")
-                for i, _ in indexed
-                for flag in ("loss_bad", "strict_bad")
-            ],
-        )
-        .where(~F.col("_halo"))
-        .drop("_halo")
+    if rows > 1:
+        placed = ordered.add_halo(flat, "cycle", rows - 1, chunk)
+    else:
+        placed = flat.withColumn("_chunk", ordered.whole_div("cycle", chunk)).withColumn("_halo", F.lit(False))
+
+    def of(i: int, name: str) -> Column:
+        value = F.max(F.when(F.col("provider") == providers[i], F.col(name)))
+        return F.coalesce(value, F.lit(missing[name])).alias(f"{name}_{i}")
+
+    indexes = range(len(providers))
+    per_cycle = (
+        placed.repartition("site_id", "_chunk")
+        .groupBy("site_id", "_chunk", "cycle", "_halo")
+        .agg(*(extra or []), *[of(i, name) for i in indexes for name in values])
     )
+    window = Window.partitionBy("site_id", "_chunk").orderBy("cycle").rowsBetween(-(rows - 1), 0)
+    means = {f"avg_{i}": F.avg(f"{smooth}_{i}").over(window) for i in indexes}
+    return per_cycle.withColumns(means).where(~F.col("_halo")).drop("_halo")
+
+
+def smoothed_cycles(
+    measurements: DataFrame, providers: list[str], params: FailoverParams, chunk: int = CHUNK
+) -> DataFrame:
+    """Smoothed score ``avg_<i>`` and health ``loss_bad_<i>``, ``strict_bad_<i>`` per cycle."""
+    t = params.thresholds
+    pings = params.mode == "warning"
+    values = {
+        "value": F.col("peer_avg") if pings else scoring.quality_score(),
+        "loss_bad": ~scoring.is_healthy(params.loss_limit),
+        "strict_bad": ~scoring.is_strictly_healthy(F.lit(t.peer_critical), F.lit(t.dns_critical)),
+    }
+    missing = {"value": float("inf") if pings else penalty_score(), "loss_bad": True, "strict_bad": True}
+    needed = measurements.select("site_id", "cycle", "provider", *P.METRICS)
+    return wide_cycles(needed, providers, values, missing, "value", params.history, chunk)
 
 
 def penalty_score() -> float:

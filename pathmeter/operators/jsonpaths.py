@@ -32,7 +32,7 @@ def leaves_of(tree) -> Iterator[tuple[str, object]]:
         elif isinstance(node, list):
             inner = [(f"{path}[{i}]", v) for i, v in enumerate(node)]
             todo.extend(reversed(inner))
-        elif node is not tree:
+        else:
             yield path, node
 
 

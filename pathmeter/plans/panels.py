@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathmeter import params as P
 from pathmeter import session
 from pathmeter.functions import scoring
 from pathmeter.operators import dashboard, failover, smoothing
@@ -17,6 +18,12 @@ from pathmeter.sources import tables
 ASOF = "2024-01-15 12:00:00"
 RANGE = ("2024-01-10 06:00:00", "2024-01-12 18:00:00")
 
+
+
+def _mean_sql(name: str) -> str:
+    return f"avg(CAST(floor({name} * 100 + 0.5) AS BIGINT)) / 100"
+
+
 REPORTED_SQL = f""",
 reported AS (
   SELECT site_id, cycle, provider, ts, {cut_sql("smoothed")} AS score, {cut_sql("peer_avg")} AS peer_latency_ms,
@@ -54,15 +61,21 @@ def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.reported(smoothed(spark, sf_dir))
 
 
+def per_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = dashboard.wide_figures(views.scored(spark, sf_dir), PROVIDERS)
+    return dashboard.one_row_per_cycle(wide, PROVIDERS, [p[4] for p in P.DEFAULT_PROVIDERS])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = selection.decisions(spark, sf_dir)
+    """Cycle documents; the decisions are stored once for their two uses."""
+    decisions = session.materialize(selection.decisions(spark, sf_dir), "decisions")
     changes = failover.previous_provider(decisions, PROVIDERS[0])
-    return dashboard.cycle_documents(reported(spark, sf_dir), decisions, changes, PROVIDERS)
+    return dashboard.cycle_documents(per_cycle(spark, sf_dir), decisions, changes, PROVIDERS)
 
 
 @query("agg_11_cycle_rows", f"WITH {views.SMOOTH_SQL} {WIDE_SQL} SELECT * FROM wide")
 def agg_11(spark, sf_dir):
-    return dashboard.one_row_per_cycle(reported(spark, sf_dir), PROVIDERS)
+    return per_cycle(spark, sf_dir)
 
 
 @query("snk_01_daily_telemetry", f"WITH RECURSIVE {DOCS_SQL} SELECT *, CAST(ts AS DATE) AS dt FROM docs")
@@ -109,19 +122,14 @@ def flt_02(spark, sf_dir):
 @query(
     "agg_13_date_histogram",
     f"""WITH {views.SMOOTH_SQL} {REPORTED_SQL}
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, provider, {cut_sql("avg(score)", 6)} AS score,
-       {cut_sql("avg(peer_latency_ms)", 6)} AS peer_latency_ms FROM reported GROUP BY ALL""",
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, provider, {_mean_sql("score")} AS score,
+       {_mean_sql("peer_latency_ms")} AS peer_latency_ms FROM reported GROUP BY ALL""",
 )
 def agg_13(spark, sf_dir):
-    means = dashboard.date_histogram(
-        reported(spark, sf_dir), "1 hour", {"score": "score", "peer_latency_ms": "peer_latency_ms"}, ["provider"]
-    )
-    return means.select(
-        "bucket",
-        "provider",
-        scoring.cut("score", 6).alias("score"),
-        scoring.cut("peer_latency_ms", 6).alias("peer_latency_ms"),
-    )
+    """Means of the reported figures, summed as whole hundredths so that they repeat exactly."""
+    values = {name: scoring.hundredths(name) for name in ("score", "peer_latency_ms")}
+    means = dashboard.date_histogram(reported(spark, sf_dir), "1 hour", values, ["provider"])
+    return means.select("bucket", "provider", *[(F.col(name) / 100).alias(name) for name in values])
 
 
 @query(
@@ -167,17 +175,16 @@ def prj_22(spark, sf_dir):
     "set_01_series_union",
     f"""WITH {views.SMOOTH_SQL} {WIDE_SQL}
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, 'PROVIDER1 Peer' AS series,
-       {cut_sql("avg(provider1_peer_latency_ms)", 6)} AS value FROM wide GROUP BY ALL
+       {_mean_sql("provider1_peer_latency_ms")} AS value FROM wide GROUP BY ALL
 UNION ALL
-SELECT time_bucket(INTERVAL 1 HOUR, ts), 'PROVIDER2 Peer', {cut_sql("avg(provider2_peer_latency_ms)", 6)}
+SELECT time_bucket(INTERVAL 1 HOUR, ts), 'PROVIDER2 Peer', {_mean_sql("provider2_peer_latency_ms")}
 FROM wide GROUP BY ALL""",
 )
 def set_01(spark, sf_dir):
     columns = {f"{p.lower()}_peer_latency_ms": f"{p} Peer" for p in PROVIDERS}
-    wide = dashboard.one_row_per_cycle(reported(spark, sf_dir), PROVIDERS)
-    buckets = dashboard.date_histogram(wide, "1 hour", {c: c for c in columns})
+    buckets = dashboard.date_histogram(per_cycle(spark, sf_dir), "1 hour", {c: scoring.hundredths(c) for c in columns})
     out = dashboard.series_union(buckets, columns)
-    return out.withColumn("value", scoring.cut("value", 6))
+    return out.withColumn("value", F.col("value") / 100)
 
 
 ACTIONS_SQL = f"""WITH RECURSIVE {selection.CHANGES_SQL}, {selection.CONFIGURED_SQL},

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmeter.operators import failover, ordered, smoothing
+from pathmeter import session
+from pathmeter.operators import calibration, failover, ordered, smoothing
 from pathmeter.params import FailoverParams, Thresholds
 from pathmeter.plans import views
 from pathmeter.plans.registry import query
@@ -119,7 +120,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return failover.previous_provider(decisions(spark, sf_dir), PROVIDERS[0])
+    """Change events with their previous provider; the few events are stored first."""
+    switched = session.materialize(decisions(spark, sf_dir).where("provider_changed"), "changes")
+    return failover.previous_provider(switched, PROVIDERS[0])
 
 
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +138,6 @@ def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failover_rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pathmeter.operators import calibration
-
     return calibration.assign_rule_ids(provider_source.default_dimension(views.sites(spark, sf_dir)))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,6 +50,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several outputs share and read it back.
+
+    This cuts the lineage: lost executors cost a re-read, not a recomputation.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed streaming state lives in RocksDB (needed by transformWithState)."""
     spark.conf.set(STATE_STORE, ROCKSDB)

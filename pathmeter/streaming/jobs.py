@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathmeter import params as P
 from pathmeter.functions import probes, scoring
 from pathmeter.operators import dashboard, failover
 from pathmeter.params import Thresholds
@@ -54,35 +53,11 @@ def append_telemetry(stream: DataFrame, path: str, checkpoint: str, once: bool =
 
 
 def stream_documents(
-    decided: DataFrame, providers: list[str], versions: list[str], limits: Thresholds = Thresholds(), loss_limit: float = 20.0
+    decided: DataFrame, providers: list[str], versions: list[str], limits: Thresholds = Thresholds()
 ) -> DataFrame:
     """Cycle documents from the output of the selection stream, row by row."""
-    fields = {}
-    for i, (p, version) in enumerate(zip(providers, versions)):
-        fields.update(_figures(i, p.lower(), version, limits, loss_limit))
-    joined = decided.withColumns(fields).withColumnRenamed("reason", "change_reason")
-    return dashboard.arrange_document(joined, providers)
-
-
-def _figures(i: int, prefix: str, version: str, limits: Thresholds, loss_limit: float) -> dict:
-    def at(name: str):
-        return F.col(f"{name}_{i}")
-
-    worst_loss = F.greatest(at("peer_loss"), at("dns_loss"))
-    return {
-        f"{prefix}_score": scoring.cut(at("smoothed")),
-        f"{prefix}_is_healthy": worst_loss < loss_limit,
-        f"{prefix}_peer_latency_ms": scoring.cut(at("peer_avg")),
-        f"{prefix}_peer_jitter_ms": scoring.cut(at("peer_stddev")),
-        f"{prefix}_peer_loss_pct": scoring.cut(at("peer_loss")),
-        f"{prefix}_dns_latency_ms": scoring.cut(at("dns_avg")),
-        f"{prefix}_dns_jitter_ms": scoring.cut(at("dns_stddev")),
-        f"{prefix}_dns_loss_pct": scoring.cut(at("dns_loss")),
-        f"{prefix}_ip_version": scoring.ip_version_label(F.lit(version)),
-        f"{prefix}_has_latency_warning": (at("peer_avg") >= limits.peer_warning) | (at("dns_avg") >= limits.dns_warning),
-        f"{prefix}_has_latency_critical": (at("peer_avg") >= limits.peer_critical) | (at("dns_avg") >= limits.dns_critical),
-        f"{prefix}_has_packet_loss": worst_loss > 0.0,
-    }
+    per_cycle = dashboard.one_row_per_cycle(decided, providers, versions, limits)
+    return dashboard.arrange_document(per_cycle.withColumnRenamed("reason", "change_reason"), providers)
 
 
 def action_batches(
