@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathmeter import params as P
 from pathmeter.functions import scoring
+from pathmeter.functions.steps import penalty_score
 from pathmeter.operators import failover
 from pathmeter.params import CHUNK, Thresholds
 
@@ -44,7 +45,7 @@ def reported(smoothed: DataFrame, limits: Thresholds = Thresholds(), loss_limit:
 def wide_figures(scored: DataFrame, providers: list[str], rows: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Smoothed score and metrics of every provider side by side, in one shuffle."""
     values = {m: F.col(m) for m in ("score", *P.METRICS)}
-    missing = {"score": failover.penalty_score(), **P.PENALTY}
+    missing = {"score": penalty_score(), **P.PENALTY}
     needed = scored.select("site_id", "cycle", "provider", "ts", *values)
     latest = [F.max("ts").alias("ts")]
     wide = failover.wide_cycles(needed, providers, values, missing, "score", rows, chunk, latest)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pathmeter import params as P
+from pathmeter.functions.steps import initial_state, mean_in_order, pack_cycle, penalty_score, step
 from pathmeter.operators import failover
 from pathmeter.params import FailoverParams
 
@@ -61,40 +62,6 @@ def output_schema(n: int) -> T.StructType:
     )
 
 
-def mean_in_order(values: list[float]) -> float:
-    """Plain left-to-right mean, as Spark's window computes it."""
-    total = 0.0
-    for v in values:
-        total += v
-    return total / len(values)
-
-
-def pack_cycle(averages: list[float], figures: list[dict], params: FailoverParams) -> tuple[int, int, int]:
-    """Best provider and the two bit sets of one cycle."""
-    n = len(averages)
-    best = min(range(n), key=lambda i: (averages[i], i))
-    low = averages[best]
-    over = bad = 0
-    for i in range(n):
-        if params.mode == "margin":
-            enough = low < averages[i] - params.margin
-            sick = not (
-                figures[i]["peer_loss"] == 0.0
-                and figures[i]["dns_loss"] == 0.0
-                and figures[i]["peer_avg"] < params.thresholds.peer_critical
-                and figures[i]["dns_avg"] < params.thresholds.dns_critical
-            )
-        elif params.mode == "warning":
-            enough = low < averages[i] and averages[i] > params.warning
-            sick = False
-        else:
-            enough = averages[i] - low > params.margin
-            sick = not (figures[i]["peer_loss"] < params.loss_limit and figures[i]["dns_loss"] < params.loss_limit)
-        over |= int(enough) << i
-        bad |= int(sick) << i
-    return best, over, bad
-
-
 class SelectionProcessor(StatefulProcessor):
     """Steps one site through its cycles in order.
 
@@ -181,7 +148,7 @@ class SelectionProcessor(StatefulProcessor):
             current, candidate, count, before_last, next_cycle, history = self.selection.get()
             history = list(history)
         else:
-            current, candidate, count = failover.initial_state(self.params)
+            current, candidate, count = initial_state(self.params)
             before_last, next_cycle, history = current, self.first_cycle, []
         return {
             "state": (current, candidate, count),
@@ -205,7 +172,7 @@ class SelectionProcessor(StatefulProcessor):
         """Smooth and decide one cycle; history holds the last scores, oldest first."""
         ts, flat = entry
         width = len(_FIGURES)
-        penalty = [failover.penalty_score(), *P.PENALTY.values()]
+        penalty = [penalty_score(), *P.PENALTY.values()]
         if self.params.mode == "warning":
             penalty[:2] = [float("inf"), float("inf")]
         providers = []
@@ -216,7 +183,7 @@ class SelectionProcessor(StatefulProcessor):
         history = s["history"] + values
         averages = [mean_in_order(history[i :: self.n]) for i in range(self.n)]
         before = s["state"][0]
-        s["state"], reason = failover.step(
+        s["state"], reason = step(
             s["state"], *pack_cycle(averages, providers, self.params), self.params
         )
         after, candidate, count = s["state"]
