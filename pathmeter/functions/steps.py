@@ -110,18 +110,25 @@ def transition_table(
 ) -> list[tuple[State, bool]]:
     """End state for each start state, and whether its streak never broke.
 
-    Different starts soon meet in one state, so only distinct ones are stepped.
+    Different starts soon meet in one state, so each distinct state is stepped
+    once for all starts that are in it.
     """
-    live = {s: s for s in states}
-    unbroken = {s: s[1] >= 0 for s in states}
+    members = {s: [i] for i, s in enumerate(states)}
+    unbroken = [s[1] >= 0 for s in states]
     for best, over, bad in cycles:
-        after = {s: step(s, best, over, bad, params)[0] for s in set(live.values())}
-        for start, now in live.items():
-            nxt = after[now]
-            if unbroken[start] and (nxt[1] != now[1] or nxt[2] != now[2] + 1):
-                unbroken[start] = False
-            live[start] = nxt
-    return [(live[s], unbroken[s]) for s in states]
+        moved: dict[State, list[int]] = {}
+        for now, starts in members.items():
+            nxt, _ = step(now, best, over, bad, params)
+            if nxt[1] != now[1] or nxt[2] != now[2] + 1:
+                for i in starts:
+                    unbroken[i] = False
+            if nxt in moved:
+                moved[nxt] = moved[nxt] + starts
+            else:
+                moved[nxt] = starts
+        members = moved
+    ends = {i: s for s, starts in members.items() for i in starts}
+    return [(ends[i], unbroken[i]) for i in range(len(states))]
 
 
 def apply_table(table: list[tuple[State, bool]], state: State, index, sustain: int) -> State:

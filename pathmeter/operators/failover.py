@@ -164,7 +164,7 @@ def _in_order(pdf: pd.DataFrame, pos: str) -> Iterator:
 def chunk_tables(cycles: DataFrame, n: int, params: FailoverParams) -> DataFrame:
     states = all_states(n, params)
 
-    def table_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def table_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cycle")
         rows = zip(pdf["best"].tolist(), pdf["over"].tolist(), pdf["bad"].tolist())
         packed = _pack(transition_table(rows, states, params))
@@ -202,7 +202,7 @@ def start_states(
         columns = ["site_id", "pos", "start_current", "start_candidate", "start_count"]
         return pd.DataFrame(rows, columns=columns)
 
-    def walk_from(key, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+    def walk_from(key: tuple, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         state = fresh
         if len(begin):
             b = begin.iloc[0]
@@ -220,7 +220,7 @@ def start_states(
         )
         return tables.groupBy("site_id").cogroup(begin.groupBy("site_id")).applyInPandas(walk_from, out)
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ends = list(states)
         unbroken = [s[1] >= 0 for s in states]
         for row in _in_order(pdf, "pos"):
@@ -257,7 +257,7 @@ def replay(cycles: DataFrame, starts: DataFrame, params: FailoverParams) -> Data
     The state before the switch is reported, ``new`` is set only on a switch.
     """
 
-    def run(key, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cycle")
         first = begin.iloc[0]
         state = (int(first["start_current"]), int(first["start_candidate"]), int(first["start_count"]))

@@ -16,24 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathmeter import session
 from pathmeter.functions import text
 
 BATCH = 20_000
 
 
-def leaves_of(tree) -> Iterator[tuple[str, object]]:
-    """(path, scalar) of each leaf below the root, in document order."""
+def add_leaves(tree, paths: list[str], values: list[str], types: list[str]) -> None:
+    """Append path, text and type name of each leaf below the root, in document order."""
     todo = [("", tree)]
     while todo:
         path, node = todo.pop()
         if isinstance(node, dict):
-            inner = [(f"{path}.{k}" if path else k, v) for k, v in node.items()]
-            todo.extend(reversed(inner))
+            todo.extend([(f"{path}.{k}" if path else k, node[k]) for k in reversed(node)])
         elif isinstance(node, list):
-            inner = [(f"{path}[{i}]", v) for i, v in enumerate(node)]
-            todo.extend(reversed(inner))
+            todo.extend([(f"{path}[{i}]", node[i]) for i in range(len(node) - 1, -1, -1)])
         else:
-            yield path, node
+            paths.append(path)
+            values.append(str(node))
+            types.append(type(node).__name__)
 
 
 def _parsed(doc: str | None):
@@ -49,28 +50,25 @@ def leaf_paths(documents: DataFrame, key: str = "doc_id", doc: str = "doc") -> D
     Empty containers, documents that are a bare scalar and unreadable text give
     no rows. Types carry Python's names: str, int, float, bool, NoneType.
     """
-    source = documents.select(key, doc)
-    schema = pa.schema([("key", pa.int64()), ("path", pa.string()), ("value", pa.string()), ("type", pa.string())])
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tree = _parsed(body)
-            if isinstance(tree, (dict, list)):
-                for path, value in leaves_of(tree):
-                    yield k, path, str(value), type(value).__name__
+    names = ["key", "path", "value", "type"]
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: tuple[list, ...] = ([], [], [], [])
-            for row in rows(batch):
-                for column, value in zip(columns, row):
-                    column.append(value)
-                if len(columns[0]) >= BATCH:
-                    yield pa.record_batch(list(columns), schema=schema)
-                    columns = ([], [], [], [])
-            yield pa.record_batch(list(columns), schema=schema)
-
-    out = source.mapInArrow(walk, "key bigint, path string, value string, type string")
+            paths, values, types, owner = [], [], [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                tree = _parsed(body)
+                if isinstance(tree, (dict, list)):
+                    add_leaves(tree, paths, values, types)
+                    owner.extend([row] * (len(paths) - len(owner)))
+                if len(paths) >= BATCH:
+                    yield pa.record_batch([batch.column(0).take(pa.array(owner)), paths, values, types], names)
+                    paths, values, types, owner = [], [], [], []
+            if paths:
+                yield pa.record_batch([batch.column(0).take(pa.array(owner)), paths, values, types], names)
+
+    out = documents.select(F.col(key).alias("key"), doc).mapInArrow(
+        walk, "key bigint, path string, value string, type string"
+    )
     return out.withColumnRenamed("key", key)
 
 
@@ -80,5 +78,10 @@ def type_histogram(leaves: DataFrame) -> DataFrame:
 
 def listing(leaves: DataFrame, key: str = "doc_id") -> DataFrame:
     """Paths in order within their type; the key breaks ties, so a path that
-    occurs in very many documents still spreads over the sort's ranges."""
-    return leaves.withColumn("preview", text.preview("value")).orderBy("type", "path", key)
+    occurs in very many documents still spreads over the sort's ranges.
+
+    The leaves are stored first: a global sort reads its input twice, once to
+    find the ranges.
+    """
+    stored = session.materialize(leaves, "leaves")
+    return stored.withColumn("preview", text.preview("value")).orderBy("type", "path", key)
