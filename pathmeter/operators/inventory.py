@@ -12,10 +12,22 @@ from pathmeter.functions import address
 PAGE = 500
 
 
+def with_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Every parent with each of its children, and parents without any.
+
+    The same rows as ``parents LEFT JOIN children``, put the other way round:
+    in that join a parent with very many children could neither be split nor
+    could the parents be broadcast. Here the children may be split, and parents
+    without any are found from the distinct keys, combined before the shuffle.
+    """
+    lonely = parents.join(children.select(key).distinct(), key, "left_anti")
+    return children.join(parents, key).unionByName(lonely, allowMissingColumns=True)
+
+
 def related_rows(
     devices: DataFrame, interfaces: DataFrame, addresses: DataFrame, sessions: DataFrame, primaries: DataFrame
 ) -> DataFrame:
-    """Every device with each related object, in left joins.
+    """Every device with each related object.
 
     Interfaces (with their addresses) and sessions are separate branches: joined
     flat they would multiply each other within a device.
@@ -24,21 +36,16 @@ def related_rows(
         primaries.select(F.col("address_id").alias("primary_ip_id"), F.col("address").alias("primary_ip4")),
         "primary_ip_id",
         "left",
-    )
-    by_interface = (
-        base.join(interfaces.withColumnRenamed("name", "interface_name"), "device_id", "left")
-        .join(addresses.select("interface_id", "address"), "interface_id", "left")
-        .select("device_id", "name", "primary_ip4", F.lit("interface").alias("kind"), "interface_name", "address")
-    )
-    by_session = base.join(sessions.drop("device_name"), "device_id", "left").select(
-        "device_id",
-        "name",
-        "primary_ip4",
-        F.lit("session").alias("kind"),
-        F.lit(None).cast("string").alias("interface_name"),
-        F.col("remote_address").alias("address"),
-    )
-    return by_interface.unionByName(by_session)
+    ).select("device_id", "name", "primary_ip4")
+    owned = interfaces.select("device_id", "interface_id", F.col("name").alias("interface_name"))
+    by_interface = with_parent(
+        addresses.select("interface_id", "address"), with_parent(owned, base, "device_id"), "interface_id"
+    ).withColumn("kind", F.lit("interface"))
+    by_session = with_parent(
+        sessions.select("device_id", F.col("remote_address").alias("address")), base, "device_id"
+    ).withColumn("kind", F.lit("session"))
+    columns = ["device_id", "name", "primary_ip4", "kind", "interface_name", "address"]
+    return by_interface.unionByName(by_session, allowMissingColumns=True).select(*columns)
 
 
 def device_sessions(devices: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def device_documents(
             "ip_addresses", F.expr("cast(array() as array<struct<address_id:bigint,address:string,family:int>>)")
         ).alias("ip_addresses"),
     )
-    with_addresses = interfaces.join(address_lists, "interface_id", "left").select(
+    with_addresses = with_parent(address_lists, interfaces, "interface_id").select(
         "device_id", F.struct("interface_id", "page").alias("_id"), entry.alias("_entry")
     )
     interface_lists = paged_lists(with_addresses, "device_id", "_id", F.col("_entry"), "interfaces", page)
@@ -87,7 +94,7 @@ def device_documents(
         sessions, "device_id", "session_id", F.struct("session_id", "remote_address", "remote_asn"), "bgp_sessions", page
     )
     lists = interface_lists.join(session_lists, ["device_id", "page"], "full_outer")
-    return devices.join(lists, "device_id", "left").select(
+    return with_parent(lists, devices, "device_id").select(
         "device_id",
         F.coalesce("page", F.lit(0).cast("bigint")).alias("page"),
         "name",

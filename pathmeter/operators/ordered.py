@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathmeter import session
 from pathmeter.params import CHUNK
 
 
@@ -100,26 +101,29 @@ def _ascending_payload(df: DataFrame, value: str) -> bool:
     return df.schema[value].dataType.typeName() == "struct"
 
 
-def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str, levels: int = 2
-) -> DataFrame:
-    """Running number from 1 per key in ``order``.
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Running number from 1 per key in ``order``, whatever the gaps and however
+    the rows lie.
 
-    ``bucket`` is a non-decreasing integer of the first order column (a time
-    bucket, say): rows are numbered within (key, bucket) and the counts of the
-    buckets before are added.
+    Rows are range-partitioned by key and order, so a hot key, or a hot moment
+    of one, is cut over many tasks. The sorted rows are stored with their place;
+    the counts of a key in the partitions before then shift its local numbers.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = prefix_scan(counts, keys, "_bucket", "_n", "sum", "_before", levels=levels).select(
-        *keys, "_bucket", F.coalesce("_before", F.lit(0)).alias("_before")
+    placed = (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    )
+    stored = session.materialize(placed, "numbered")
+    parts = stored.groupBy(*keys, "_part").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    window = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    offsets = prefix_scan(parts, keys, "_part", "_n", "sum", "_before", levels=1)
+    number = F.col("_row") - F.col("_first") + F.coalesce("_before", F.lit(0)) + 1
     return (
-        bucketed.withColumn("_rank", F.row_number().over(window))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_rank") + F.col("_before"))
-        .drop("_bucket", "_rank", "_before")
+        stored.join(offsets.drop("_n"), [*keys, "_part"])
+        .withColumn(out, number)
+        .drop("_part", "_row", "_first", "_before")
     )
 
 

@@ -178,8 +178,7 @@ FROM probe WHERE provider_ord = 0""",
 def win_04(spark, sf_dir):
     """Number the cycles of a site from their start times."""
     starts = views.probe(spark, sf_dir).where("provider_ord = 0").select("site_id", "ts", "event_id")
-    hour = F.expr("datediff(ts, date'1970-01-01') * 24L + hour(ts)")
-    return ordered.number_rows(starts, ["site_id"], ["ts", "event_id"], hour, "cycle_number").drop("event_id")
+    return ordered.number_rows(starts, ["site_id"], ["ts", "event_id"], "cycle_number").drop("event_id")
 
 
 @query(
