@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pathmeter import params as P
+from pathmeter.functions import times
 from pathmeter.functions.steps import initial_state, mean_in_order, pack_cycle, penalty_score, step
 from pathmeter.operators import failover
 from pathmeter.params import FailoverParams
@@ -231,17 +232,16 @@ def select_stream(
     ``starts`` comes from :func:`stream_starts`. Use the RocksDB state store.
     """
     order = F.array(*[F.lit(p) for p in providers])
-    instant = F.col("ts").cast("timestamp")
     rows = (
         measurements.where(F.col("provider").isin(providers))
-        .withColumn("event_time", instant)
+        .withColumn("event_time", times.instant("ts"))
         .withWatermark("event_time", delay)
         .select(
             "site_id",
             "cycle",
             (F.array_position(order, F.col("provider")) - 1).cast("int").alias("provider_ord"),
             "event_time",
-            F.unix_micros("event_time").alias("ts_micros"),
+            times.micros("ts").alias("ts_micros"),
             F.col("score"),
             *P.METRICS,
         )
@@ -268,7 +268,7 @@ def name_decisions(df: DataFrame, providers: list[str]) -> DataFrame:
     return (
         df.withColumns({k: failover.provider_name(v, providers) for k, v in named.items()})
         .withColumn("provider_changed", F.col("new").isNotNull())
-        .withColumn("ts", F.timestamp_micros("ts_micros").cast("timestamp_ntz"))
+        .withColumn("ts", times.from_micros("ts_micros"))
         .drop("ts_micros", *named.values())
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathmeter.functions import probes, scoring
+from pathmeter.functions import probes, scoring, times
 from pathmeter.operators import dashboard, failover
 from pathmeter.params import Thresholds
 from pathmeter.sources import tables
@@ -76,9 +76,9 @@ def live_histogram(
     stream: DataFrame, width: str, values: dict, keys: list[str], delay: str = "2 minutes"
 ) -> DataFrame:
     """Time-bucket means on a stream; update mode refreshes the open buckets."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = stream.withColumn("ts", times.instant("ts")).withWatermark("ts", delay)
     means = dashboard.date_histogram(timed, width, values, keys)
-    return means.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return means.withColumn("bucket", times.plain("bucket"))
 
 
 def latest_batches(path: str) -> Callable[[DataFrame, int], None]:
