@@ -14,9 +14,14 @@ def _epoch() -> Column:
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch of a zone-less UTC time."""
+    """Microseconds since the epoch of a zone-less UTC time.
+
+    Built from its fields: the difference function would go through the
+    session's zone and its clock changes.
+    """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+    minutes = F.unix_date(ts.cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def instant(ts: Column | str) -> Column:
