@@ -62,7 +62,9 @@ def mean_in_order(values: list[float]) -> float:
     return total / len(values)
 
 
-def pack_cycle(averages: list[float], figures: list[dict], params: FailoverParams) -> tuple[int, int, int]:
+def pack_cycle(
+    averages: list[float], figures: list[dict], params: FailoverParams, margin: float
+) -> tuple[int, int, int]:
     """Best provider and the two bit sets of one cycle."""
     n = len(averages)
     best = min(range(n), key=lambda i: (averages[i], i))
@@ -70,7 +72,7 @@ def pack_cycle(averages: list[float], figures: list[dict], params: FailoverParam
     over = bad = 0
     for i in range(n):
         if params.mode == "margin":
-            enough = low < averages[i] - params.margin
+            enough = low < averages[i] - margin
             sick = not (
                 figures[i]["peer_loss"] == 0.0
                 and figures[i]["dns_loss"] == 0.0
@@ -81,7 +83,7 @@ def pack_cycle(averages: list[float], figures: list[dict], params: FailoverParam
             enough = low < averages[i] and averages[i] > params.warning
             sick = False
         else:
-            enough = averages[i] - low > params.margin
+            enough = averages[i] - low > margin
             sick = not (figures[i]["peer_loss"] < params.loss_limit and figures[i]["dns_loss"] < params.loss_limit)
         over |= int(enough) << i
         bad |= int(sick) << i

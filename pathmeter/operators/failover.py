@@ -84,7 +84,10 @@ def wide_cycles(
 def smoothed_cycles(
     measurements: DataFrame, providers: list[str], params: FailoverParams, chunk: int = CHUNK
 ) -> DataFrame:
-    """Smoothed score ``avg_<i>`` and health ``loss_bad_<i>``, ``strict_bad_<i>`` per cycle."""
+    """Smoothed score ``avg_<i>`` and health ``loss_bad_<i>``, ``strict_bad_<i>`` per cycle.
+
+    Measurements may bring the ``switch_margin`` of their site.
+    """
     t = params.thresholds
     pings = params.mode == "warning"
     values = {
@@ -93,8 +96,10 @@ def smoothed_cycles(
         "strict_bad": ~scoring.is_strictly_healthy(F.lit(t.peer_critical), F.lit(t.dns_critical)),
     }
     missing = {"value": float("inf") if pings else penalty_score(), "loss_bad": True, "strict_bad": True}
-    needed = measurements.select("site_id", "cycle", "provider", *P.METRICS)
-    return wide_cycles(needed, providers, values, missing, "value", params.history, chunk)
+    own_margin = ["switch_margin"] if "switch_margin" in measurements.columns else []
+    needed = measurements.select("site_id", "cycle", "provider", *own_margin, *P.METRICS)
+    extra = [F.max(m).alias(m) for m in own_margin]
+    return wide_cycles(needed, providers, values, missing, "value", params.history, chunk, extra)
 
 
 def decision_columns(cycles: DataFrame, n: int, params: FailoverParams) -> DataFrame:
@@ -103,16 +108,19 @@ def decision_columns(cycles: DataFrame, n: int, params: FailoverParams) -> DataF
     # Lowest smoothed score; on ties the first provider in order.
     lowest = F.array_min(F.array(*[F.struct(a.alias("a"), F.lit(i).alias("i")) for i, a in enumerate(avgs)]))
     best_avg = F.col("_lowest.a")
+    margin = F.lit(params.margin)
+    if "switch_margin" in cycles.columns:
+        margin = F.coalesce("switch_margin", margin)
 
     def beaten(i: int) -> Column:
         if params.mode == "margin":
-            enough = best_avg < avgs[i] - params.margin
+            enough = best_avg < avgs[i] - margin
         elif params.mode == "warning":
             enough = (best_avg < avgs[i]) & (avgs[i] > params.warning)
         else:
             # inf - inf is NaN, which Spark would order above any margin.
             gap = avgs[i] - best_avg
-            enough = ~F.isnan(gap) & (gap > params.margin)
+            enough = ~F.isnan(gap) & (gap > margin)
         return F.when(enough, F.lit(1 << i)).otherwise(F.lit(0))
 
     flag = "strict_bad" if params.mode == "margin" else "loss_bad"
@@ -301,7 +309,9 @@ def fold(
 ) -> DataFrame:
     """Decision per site and cycle over imputed measurements.
 
-    Columns: ``site_id, cycle, current_provider, reason, counter,
+    The margin is that of ``params``, or the site's where the measurements have
+    a ``switch_margin``: join calibrated thresholds to them first, while the
+    rows of a site can still be split. Columns: ``site_id, cycle, current_provider, reason, counter,
     provider_changed, new_provider, candidate``.
     """
     n = len(providers)

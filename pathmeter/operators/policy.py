@@ -102,6 +102,60 @@ def policy_commands(policies: DataFrame, keys: list[str]) -> DataFrame:
     return policies.select(*keys, F.posexplode(kept).alias("line_no", "text"))
 
 
+def rule_commands(rules: DataFrame, communities: DataFrame, asn: str = ASN) -> DataFrame:
+    """Command rows of each rendered rule: (rule_id, step, item, text).
+
+    (step, item) orders the rows of a rule: header, match lists, communities,
+    preference, path, quit. This form always prepends the ASN three times.
+    """
+    rendered = rendered_rules(rules)
+    matched = match_lists(rendered).where("prefix_list is not null")
+    header = F.concat_ws(
+        " ", F.lit("route-policy"), "policy_name", "action", F.lit("node"), F.col("index").cast("string")
+    )
+    preference = F.col("local_preference")
+
+    def line(step: int, text: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit("").alias("item"), text.alias("text"))
+
+    own = F.array(
+        line(1, header),
+        F.when(_given(preference), line(4, F.concat(F.lit(" apply local-preference "), preference))),
+        F.when(
+            F.col("as_path_prepend_count") > 0,
+            line(5, F.lit(f" apply as-path {' '.join([asn] * 3)} additive")),
+        ),
+        line(6, F.lit("quit")),
+    )
+    fixed = rendered.select("rule_id", F.inline(F.filter(own, lambda x: x.isNotNull())))
+    matches = matched.select(
+        "rule_id",
+        F.lit(2).alias("step"),
+        F.col("prefix_list").alias("item"),
+        F.concat(F.lit(" if-match "), F.col("family"), F.lit(" address prefix-list "), F.col("prefix_list")).alias("text"),
+    )
+    applied = rule_communities(rendered, communities).select(
+        "rule_id",
+        F.lit(3).alias("step"),
+        F.col("name").alias("item"),
+        F.concat(F.lit(" apply community "), F.col("value")).alias("text"),
+    )
+    return fixed.unionByName(matches).unionByName(applied)
+
+
+def context_commands(policies: DataFrame, keys: list[str], asn: str = ASN) -> DataFrame:
+    """Command rows of each policy of a policy context; this form prepends twice."""
+    preference = F.col("local_preference")
+    lines = F.array(
+        F.concat(F.lit("route-policy "), F.col("policy_name"), F.lit(" permit node 10")),
+        F.when(F.col("as_path_prepend_count") > 0, F.lit(f" apply as-path {asn} {asn} additive")),
+        F.when(preference != 0, F.concat(F.lit(" apply local-preference "), preference.cast("string"))),
+        F.lit("quit"),
+    )
+    kept = F.filter(lines, lambda x: x.isNotNull())
+    return policies.select(*keys, "policy_name", F.posexplode(kept).alias("line_no", "text"))
+
+
 def prefix_list_commands(rules: DataFrame) -> DataFrame:
     """One command per prefix list; other families give none."""
     keyword = F.when(F.col("family") == "ipv4", "ip ip-prefix").when(F.col("family") == "ipv6", "ip ipv6-prefix")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pathmeter import session
 from pathmeter.functions import scoring
-from pathmeter.operators import calibration
-from pathmeter.plans import views
+from pathmeter.operators import calibration, failover
+from pathmeter.plans import selection, views
 from pathmeter.plans.registry import query
 from pathmeter.plans.views import cut_sql
 from pathmeter.sources import providers as provider_source
@@ -300,3 +300,27 @@ def joi_11(spark, sf_dir):
         scoring.has_latency_warning().alias("has_latency_warning"),
         scoring.has_latency_critical().alias("has_latency_critical"),
     )
+
+
+def _calibrated_fold_sql() -> str:
+    """The fold with each site's own margin."""
+    own = selection.FOLD_SQL.replace("END > 5)", "END > switch_margin)")
+    own = own.replace("SELECT p.*, f.cur,", "SELECT p.*, thr.switch_margin, f.cur,")
+    own = own.replace(
+        "p.site_id = f.site_id AND p.cycle = f.cycle + 1) x)",
+        "p.site_id = f.site_id AND p.cycle = f.cycle + 1 JOIN thr ON thr.site_id = p.site_id) x)",
+    )
+    return own.replace(views.PROBE_SQL, THRESHOLDS_SQL, 1)
+
+
+@query(
+    "str_02_calibrated_fold",
+    f"""WITH RECURSIVE {_calibrated_fold_sql()}
+SELECT site_id, cycle, current_provider, reason, counter, new_provider FROM decision""",
+)
+def str_02_calibrated(spark, sf_dir):
+    """The fold with calibrated margins; the few thresholds are stored before."""
+    margins = session.materialize(site_thresholds(spark, sf_dir).select("site_id", "switch_margin"), "margins")
+    rows = scoring.with_thresholds(views.measurements(spark, sf_dir), margins)
+    out = failover.fold(rows, views.PROVIDERS)
+    return out.select("site_id", "cycle", "current_provider", "reason", "counter", "new_provider")

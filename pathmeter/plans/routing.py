@@ -312,6 +312,48 @@ def arr_02(spark, sf_dir):
     return policy.policy_commands(last, KEYS)
 
 
+@query(
+    "arr_02_rule_commands",
+    f"""WITH {RULES_SQL},
+r AS (SELECT *, CASE WHEN rule_id % 5 = 0 THEN 'deny' ELSE 'permit' END AS action, CAST(rule_id % 100 AS INTEGER) AS index,
+             CASE WHEN len(match_ipv6_address) > 0 THEN 'ipv6' ELSE 'ip' END AS fam,
+             CASE WHEN len(match_ipv6_address) > 0 THEN match_ipv6_address ELSE match_ip_address END AS chosen
+      FROM rule WHERE policy_name IN ('EXPORT-TO-IXA', 'EXPORT-TO-UFINET', 'SET-LOCAL-PREF-IXA', 'SET-LOCAL-PREF-UFINET')),
+m AS (SELECT rule_id, fam, unnest(chosen) AS pl FROM r)
+SELECT rule_id, 1 AS step, '' AS item, 'route-policy ' || policy_name || ' ' || action || ' node ' || CAST(index AS VARCHAR) AS text FROM r
+UNION ALL SELECT rule_id, 2, pl, ' if-match ' || fam || ' address prefix-list ' || pl FROM m
+UNION ALL SELECT rule_id, 3, c.name, ' apply community ' || c.value
+          FROM r JOIN community c ON c.name = r.apply_community OR c.value = r.apply_community
+UNION ALL SELECT rule_id, 4, '', ' apply local-preference ' || local_preference FROM r WHERE local_preference <> ''
+UNION ALL SELECT rule_id, 5, '', ' apply as-path 65000 65000 65000 additive' FROM r WHERE as_path_prepend_count > 0
+UNION ALL SELECT rule_id, 6, '', 'quit' FROM r""",
+)
+def arr_02_rules(spark, sf_dir):
+    numbered = rules(spark, sf_dir).withColumns(
+        {
+            "action": F.when(F.col("rule_id") % 5 == 0, "deny").otherwise("permit"),
+            "index": (F.col("rule_id") % 100).cast("int"),
+        }
+    )
+    return policy.rule_commands(numbered, communities(spark, sf_dir))
+
+
+@query(
+    "arr_01_context_commands",
+    """WITH p AS (
+  SELECT o_orderkey AS doc_id, o_orderpriority AS policy_name, o_orderkey % 4 AS n, 100 + o_orderkey % 3 AS lp FROM orders
+  UNION ALL SELECT o_orderkey, 'EXPORT-TO-UFINET', 2, o_custkey FROM orders),
+l AS (SELECT doc_id, policy_name, list_filter(['route-policy ' || policy_name || ' permit node 10',
+             CASE WHEN n > 0 THEN ' apply as-path 65000 65000 additive' END,
+             CASE WHEN lp <> 0 THEN ' apply local-preference ' || CAST(lp AS VARCHAR) END, 'quit'], lambda x: x IS NOT NULL) AS lines FROM p)
+SELECT doc_id, policy_name, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS text
+FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l) x""",
+)
+def arr_01_context(spark, sf_dir):
+    rows = dumps.policy_rows(dumps.parse_policy_context(_contexts(spark, sf_dir)), ["doc_id"])
+    return policy.context_commands(rows, ["doc_id"])
+
+
 @query(
     "arr_04_prefix_list_commands",
     f"""WITH {RULES_SQL}

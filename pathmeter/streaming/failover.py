@@ -23,7 +23,7 @@ from pathmeter.functions.steps import initial_state, mean_in_order, pack_cycle,
 from pathmeter.operators import failover
 from pathmeter.params import FailoverParams
 
-_FIGURES = ["score", *P.METRICS]
+_FIGURES = ["score", *P.METRICS, "switch_margin"]
 
 SELECTION = T.StructType(
     [
@@ -173,7 +173,8 @@ class SelectionProcessor(StatefulProcessor):
         """Smooth and decide one cycle; history holds the last scores, oldest first."""
         ts, flat = entry
         width = len(_FIGURES)
-        penalty = [penalty_score(), *P.PENALTY.values()]
+        margin = next(m for m in flat[width - 1 :: width] if m is not None)
+        penalty = [penalty_score(), *P.PENALTY.values(), margin]
         if self.params.mode == "warning":
             penalty[:2] = [float("inf"), float("inf")]
         providers = []
@@ -185,7 +186,7 @@ class SelectionProcessor(StatefulProcessor):
         averages = [mean_in_order(history[i :: self.n]) for i in range(self.n)]
         before = s["state"][0]
         s["state"], reason = step(
-            s["state"], *pack_cycle(averages, providers, self.params), self.params
+            s["state"], *pack_cycle(averages, providers, self.params, margin), self.params
         )
         after, candidate, count = s["state"]
         row = {
@@ -229,8 +230,12 @@ def select_stream(
 ) -> DataFrame:
     """One row per completed site and cycle from a stream of imputed measurements.
 
-    ``starts`` comes from :func:`stream_starts`. Use the RocksDB state store.
+    Measurements may bring the ``switch_margin`` of their site. ``starts`` comes
+    from :func:`stream_starts`. Use the RocksDB state store.
     """
+    margin = F.lit(float(params.margin))
+    if "switch_margin" in measurements.columns:
+        margin = F.coalesce("switch_margin", margin)
     order = F.array(*[F.lit(p) for p in providers])
     rows = (
         measurements.where(F.col("provider").isin(providers))
@@ -244,6 +249,7 @@ def select_stream(
             times.micros("ts").alias("ts_micros"),
             F.col("score"),
             *P.METRICS,
+            margin.alias("switch_margin"),
         )
     )
     n = len(providers)

@@ -66,6 +66,16 @@ def test_stream_equals_fold_in_any_split(spark, tmp_path, slices):
     assert got == {s: naive_fold(c) for s, c in sites.items()}
 
 
+def test_stream_takes_the_margin_of_each_site(spark, tmp_path):
+    session.use_rocksdb(spark)
+    sites = {s: random_cycles(40, 2, 40 + s) for s in range(2)}
+    write_slices(spark, sorted((r for s, c in sites.items() for r in rows(c, s)), key=lambda r: r[1]), tmp_path / "in", 2)
+    margins = spark.createDataFrame([(1, 0.5)], "site_id bigint, switch_margin double")
+    calibrated = stream(spark, tmp_path / "in").join(margins, "site_id", "left")
+    got = by_site(run(spark, live.select_stream(calibrated, PROVIDERS), tmp_path, "margin"))
+    assert got == {0: naive_fold(sites[0]), 1: naive_fold(sites[1], margin=0.5)}
+
+
 def test_late_provider_is_taken_as_failed(spark, tmp_path):
     session.use_rocksdb(spark)
     cycles = [(6, 10)] * 30
