@@ -11,7 +11,8 @@ The fold then only steps over these. Its state is small and finite, so long
 histories are folded in parallel: every (site, chunk) first yields its whole
 transition table (end state for each possible start state), the tables are
 composed in blocks to give each chunk its true start state, and the chunks are
-replayed from there. No task ever holds all cycles of a site.
+replayed from there. No task ever holds all cycles of a site, and the
+measurements are read and shuffled once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathmeter import params as P
+from pathmeter import session
 from pathmeter.functions import scoring
 from pathmeter.functions.steps import (
     State,
@@ -165,23 +167,23 @@ def _unpack(row) -> list[tuple[State, bool]]:
     ]
 
 
-def _in_order(pdf: pd.DataFrame, pos: str) -> Iterator:
-    return pdf.rename(columns={"count": "count_"}).sort_values(pos).itertuples(index=False)
+CYCLES = "cycle array<bigint>, best array<int>, over array<bigint>, bad array<bigint>"
 
 
 def chunk_tables(cycles: DataFrame, n: int, params: FailoverParams) -> DataFrame:
+    """One row per (site, chunk): its transition table and its packed cycles."""
     states = all_states(n, params)
 
     def table_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cycle")
-        rows = zip(pdf["best"].tolist(), pdf["over"].tolist(), pdf["bad"].tolist())
-        packed = _pack(transition_table(rows, states, params))
-        return pd.DataFrame([{"site_id": key[0], "pos": key[1], **packed}])
+        columns = {c: pdf[c].tolist() for c in ("cycle", "best", "over", "bad")}
+        packed = _pack(transition_table(zip(columns["best"], columns["over"], columns["bad"]), states, params))
+        return pd.DataFrame([{"site_id": key[0], "pos": key[1], **packed, **columns}])
 
     return (
         cycles.select("site_id", "_chunk", "cycle", "best", "over", "bad")
         .groupBy("site_id", "_chunk")
-        .applyInPandas(table_of, f"site_id bigint, pos bigint, {TABLE}")
+        .applyInPandas(table_of, f"site_id bigint, pos bigint, {TABLE}, {CYCLES}")
     )
 
 
@@ -193,109 +195,133 @@ def start_states(
     block: int = CHUNK,
     levels: int = 2,
 ) -> DataFrame:
-    """The state each table starts from: (site_id, pos, current, candidate, count).
+    """The state each table starts from: (site_id, pos, start_*).
 
-    ``starts`` optionally gives a state per site to begin with.
+    ``starts`` optionally gives a state per site to begin with. Tables of a block
+    are composed first, then blocks are walked, then the tables inside each.
     """
+    if levels <= 1:
+        begin = None
+        if starts is not None:
+            begin = starts.select("site_id", *[F.col(c).alias(f"start_{c}") for c in ("current", "candidate", "count")])
+        return _walk(tables, ["site_id"], begin, n, params)
+    blocked = tables.withColumn("_block", ordered.whole_div("pos", block))
+    composed = _compose(blocked, n, params)
+    begin = start_states(composed, n, params, starts, block, levels - 1).withColumnRenamed("pos", "_block")
+    return _walk(blocked, ["site_id", "_block"], begin, n, params)
+
+
+def _in_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key together and in order, so that a task can step through
+    many keys without a group of its own for each."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, "pos")
+
+
+def _compose(blocked: DataFrame, n: int, params: FailoverParams) -> DataFrame:
+    """One table per (site, block) that does what its tables do in turn."""
     states = all_states(n, params)
     index = state_index(states, params.sustain)
-    fresh = initial_state(params)
-    out = "site_id bigint, pos bigint, start_current int, start_candidate int, start_count bigint"
-
-    def walk(site_id, pdf: pd.DataFrame, state: State) -> pd.DataFrame:
-        rows = []
-        for row in _in_order(pdf, "pos"):
-            rows.append((site_id, row.pos, *state))
-            state = apply_table(_unpack(row), state, index, params.sustain)
-        columns = ["site_id", "pos", "start_current", "start_candidate", "start_count"]
-        return pd.DataFrame(rows, columns=columns)
-
-    def walk_from(key: tuple, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        state = fresh
-        if len(begin):
-            b = begin.iloc[0]
-            state = (int(b["start_current"]), int(b["start_candidate"]), int(b["start_count"]))
-        return walk(key[0], pdf, state)
-
-    if levels <= 1:
-        if starts is None:
-            return tables.groupBy("site_id").applyInPandas(lambda k, pdf: walk(k[0], pdf, fresh), out)
-        begin = starts.select(
-            "site_id",
-            F.col("current").alias("start_current"),
-            F.col("candidate").alias("start_candidate"),
-            F.col("count").alias("start_count"),
-        )
-        return tables.groupBy("site_id").cogroup(begin.groupBy("site_id")).applyInPandas(walk_from, out)
-
-    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = list(states)
-        unbroken = [s[1] >= 0 for s in states]
-        for row in _in_order(pdf, "pos"):
-            table = _unpack(row)
-            for i, state in enumerate(ends):
-                unbroken[i] = unbroken[i] and table[index(state)][1]
-                ends[i] = apply_table(table, state, index, params.sustain)
-        packed = _pack(list(zip(ends, unbroken)))
-        return pd.DataFrame([{"site_id": key[0], "pos": key[1], **packed}])
 
-    blocked = tables.withColumn("_block", ordered.whole_div("pos", block))
-    block_tables = blocked.groupBy("site_id", "_block").applyInPandas(
-        compose, f"site_id bigint, pos bigint, {TABLE}"
-    )
-    begin = start_states(block_tables, n, params, starts, block, levels - 1).withColumnRenamed(
-        "pos", "_block"
-    )
-    return (
-        blocked.groupBy("site_id", "_block")
-        .cogroup(begin.groupBy("site_id", "_block"))
-        .applyInPandas(walk_from, out)
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ends, unbroken = None, [], []
+        for pdf in batches:
+            done = []
+            for row in pdf.rename(columns={"count": "count_", "_block": "block"}).itertuples(index=False):
+                if key != (row.site_id, row.block):
+                    if key is not None:
+                        done.append({"site_id": key[0], "pos": key[1], **_pack(list(zip(ends, unbroken)))})
+                    key, ends, unbroken = (row.site_id, row.block), list(states), [s[1] >= 0 for s in states]
+                table = _unpack(row)
+                for i, state in enumerate(ends):
+                    unbroken[i] = unbroken[i] and table[index(state)][1]
+                    ends[i] = apply_table(table, state, index, params.sustain)
+            if done:
+                yield pd.DataFrame(done)
+        if key is not None:
+            yield pd.DataFrame([{"site_id": key[0], "pos": key[1], **_pack(list(zip(ends, unbroken)))}])
+
+    runs = _in_runs(blocked, ["site_id", "_block"])
+    return runs.mapInPandas(compose, f"site_id bigint, pos bigint, {TABLE}")
+
+
+def _walk(tables: DataFrame, keys: list[str], begin: DataFrame | None, n: int, params: FailoverParams) -> DataFrame:
+    """Step through the tables of each key from its begin state, or a fresh one."""
+    index = state_index(all_states(n, params), params.sustain)
+    fresh = initial_state(params)
+    names = ["site_id", "pos", "start_current", "start_candidate", "start_count"]
+    given_begin = begin is not None
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, fresh
+        for pdf in batches:
+            out = []
+            begins = zip(*[pdf[c].tolist() for c in names[2:]]) if given_begin else None
+            owners = zip(*[pdf[k].tolist() for k in keys])
+            for row, owner in zip(pdf.rename(columns={"count": "count_"}).itertuples(index=False), owners):
+                given = next(begins) if begins is not None else None
+                if owner != key:
+                    known = given is not None and pd.notna(given[0])
+                    key, state = owner, tuple(int(x) for x in given) if known else fresh
+                out.append((row.site_id, row.pos, *state))
+                state = apply_table(_unpack(row), state, index, params.sustain)
+            yield pd.DataFrame(out, columns=names)
+
+    joined = tables if begin is None else tables.join(begin, keys, "left")
+    return _in_runs(joined, keys).mapInPandas(
+        walk, "site_id bigint, pos bigint, start_current int, start_candidate int, start_count bigint"
     )
 
 
-DECISION = (
-    "site_id bigint, cycle bigint, current int, reason string, counter bigint, "
-    "new int, after_candidate int"
-)
+REASONS = [
+    P.STABLE,
+    P.INSUFFICIENT_MARGIN,
+    P.EVALUATING,
+    P.SUSTAINED,
+    P.CRITICAL_LOSS,
+    P.UNHEALTHY,
+    P.MARGIN,
+    P.WARNING,
+]
+# Numbers only: names and codes are put in by Spark.
+DECISION = "site_id bigint, cycle bigint, current int, reason int, counter bigint, new int, after_candidate int"
 
 
-def replay(cycles: DataFrame, starts: DataFrame, params: FailoverParams) -> DataFrame:
+def replay(chunks: DataFrame, starts: DataFrame, params: FailoverParams) -> DataFrame:
     """Fold every chunk from its start state; one row per cycle.
 
-    The state before the switch is reported, ``new`` is set only on a switch.
+    The state before the switch is reported; ``new`` is -1 without a switch and
+    ``reason`` an index into ``REASONS``.
     """
+    codes = {reason: i for i, reason in enumerate(REASONS)}
 
     def run(key: tuple, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cycle")
-        first = begin.iloc[0]
+        packed, first = pdf.iloc[0], begin.iloc[0]
         state = (int(first["start_current"]), int(first["start_candidate"]), int(first["start_count"]))
         current, reason, count, new, candidate = [], [], [], [], []
-        for best, over, bad in zip(pdf["best"].tolist(), pdf["over"].tolist(), pdf["bad"].tolist()):
+        for best, over, bad in zip(packed["best"].tolist(), packed["over"].tolist(), packed["bad"].tolist()):
             before = state[0]
             state, why = step(state, best, over, bad, params)
             current.append(before)
-            reason.append(why)
+            reason.append(codes[why])
             count.append(state[2])
-            new.append(state[0] if state[0] != before else None)
+            new.append(state[0] if state[0] != before else -1)
             candidate.append(state[1])
         return pd.DataFrame(
             {
                 "site_id": key[0],
-                "cycle": pdf["cycle"].to_numpy(),
+                "cycle": packed["cycle"],
                 "current": current,
                 "reason": reason,
                 "counter": count,
-                "new": pd.array(new, dtype="Int32"),
+                "new": new,
                 "after_candidate": candidate,
             }
         )
 
-    # Cogrouping keeps the cycles where the smoothing shuffle has put them; only
-    # the start states move.
     return (
-        cycles.select("site_id", "_chunk", "cycle", "best", "over", "bad")
-        .groupBy("site_id", "_chunk")
-        .cogroup(starts.withColumnRenamed("pos", "_chunk").groupBy("site_id", "_chunk"))
+        chunks.select("site_id", "pos", "cycle", "best", "over", "bad")
+        .groupBy("site_id", "pos")
+        .cogroup(starts.groupBy("site_id", "pos"))
         .applyInPandas(run, DECISION)
     )
 
@@ -316,15 +342,18 @@ def fold(
     """
     n = len(providers)
     cycles = decision_columns(smoothed_cycles(measurements, providers, params, chunk), n, params)
-    tables = chunk_tables(cycles, n, params)
-    decided = replay(cycles, start_states(tables, n, params, starts), params)
+    # Stored once for its two uses: a few small numbers per cycle, against the
+    # full measurements that went in.
+    chunks = session.materialize(chunk_tables(cycles, n, params), "chunks")
+    tables = chunks.select("site_id", "pos", "current", "candidate", "count", "unbroken")
+    decided = replay(chunks, start_states(tables, n, params, starts), params)
     return decided.select(
         "site_id",
         "cycle",
         provider_name("current", providers).alias("current_provider"),
-        "reason",
+        F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("reason")).alias("reason"),
         "counter",
-        F.col("new").isNotNull().alias("provider_changed"),
+        (F.col("new") >= 0).alias("provider_changed"),
         provider_name("new", providers).alias("new_provider"),
         provider_name("after_candidate", providers).alias("candidate"),
     )

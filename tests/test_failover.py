@@ -103,8 +103,9 @@ def test_fold_goes_on_from_final_states(spark):
     params = FailoverParams()
     wide = failover.smoothed_cycles(frame(spark, rows(cycles)), PROVIDERS, params, chunk=16).where("cycle >= 64")
     later = failover.decision_columns(wide, n, params)
-    starts = failover.start_states(failover.chunk_tables(later, n, params), n, params, states)
-    got = {(r.cycle, r.current, r.reason) for r in failover.replay(later, starts, params).collect()}
+    chunks = failover.chunk_tables(later, n, params)
+    starts = failover.start_states(chunks, n, params, states)
+    got = {(r.cycle, r.current, failover.REASONS[r.reason]) for r in failover.replay(chunks, starts, params).collect()}
     want = {(c, d[0], d[1]) for c, d in enumerate(naive_fold(cycles)) if c >= 64}
     assert got == want
 
