@@ -60,19 +60,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def numbered(df: DataFrame, order: list, name: str, label: str) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, label: str, placed: bool = False) -> DataFrame:
     """Number rows from 0 in the total order of ``order``, without one task for all rows.
 
-    Rows are range-partitioned, sorted and stored; each row takes its place in
-    its partition plus the rows of the partitions before. Only one count per
-    partition goes through the driver.
+    Rows are range-partitioned, sorted and stored (``placed``: they lie so
+    already); each row takes its place in its partition plus the rows of the
+    partitions before. Only one count per partition goes through the driver.
     """
-    part = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    stored = materialize(part, label)
-    place = F.shiftright("_slot", 33)
+    part = df if placed else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(part.withColumn("_slot", F.monotonically_increasing_id()), label)
+    place = F.shiftright("_slot", 33).cast("int")
     counts = dict(stored.groupBy(place.alias("p")).count().collect())
     base, starts = 0, []
     for p in sorted(counts):
@@ -80,8 +77,7 @@ def numbered(df: DataFrame, order: list, name: str, label: str) -> DataFrame:
         base += counts[p]
     if not starts:
         return stored.withColumn(name, F.lit(0).cast("long")).drop("_slot")
-    offsets = df.sparkSession.createDataFrame(starts, "_p long, _base long")
+    # A literal map with one entry per partition adds the offset without a join.
+    offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair])
     within = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
-    # One row per partition: the size is bounded by the partition count.
-    joined = stored.withColumn("_p", place).join(F.broadcast(offsets), "_p")
-    return joined.withColumn(name, F.col("_base") + within).drop("_p", "_base", "_slot")
+    return stored.withColumn(name, offsets[place].cast("long") + within).drop("_slot")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmeter.llm import bpe, pii, secret_scan, simhash, toxicity
+from pathmeter.llm import bpe, lines, pii, secret_scan, simhash, toxicity
 from pathmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs of 50 words or more."""
+    return lines.delete_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
