@@ -95,6 +95,28 @@ def decode_table(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return tokens.withColumn("decoded", decoded("token_ids"))
 
 
+def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids``, ``n_tokens`` and ``round_trip``: whether the decoded bytes are the text's.
+
+    Ids are decoded in the worker that made them. Null texts count as empty;
+    columns of the new names are replaced.
+    """
+    data = docs.sparkSession.sparkContext.broadcast(_read(rank_file))
+
+    @F.pandas_udf("struct<ids:array<int>,same:boolean>")
+    def checked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = encoding(data.value, pattern)
+        for part in parts:
+            texts = [t or "" for t in part]
+            ids = [encode(enc, t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "same": [enc.decode_bytes(x) == t.encode() for x, t in zip(ids, texts)]})
+
+    made = docs.withColumn("_bpe", checked(F.col(text)))
+    return made.withColumns({
+        "token_ids": F.col("_bpe.ids"), "n_tokens": F.size("_bpe.ids").cast("long"), "round_trip": F.col("_bpe.same"),
+    }).drop("_bpe")
+
+
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode and digest every text in one pass: (key, n_tokens, ids_sha256, decoded_sha256).
 

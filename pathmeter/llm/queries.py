@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmeter.llm import bpe, lines, pii, secret_scan, simhash, toxicity
+from pathmeter.llm import bpe, forest, lines, mixture, pii, search, secret_scan, shards, simhash, toxicity
 from pathmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
@@ -56,12 +61,50 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the calibrated sample with their cell and probability."""
+    mixed = mixture.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "probability")
+
+
+@query
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.interleave(table(spark, sf_dir, "documents"), shards=40)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source",
+    )
+
+
 @query
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of line runs of 50 words or more."""
     return lines.delete_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
 
+@query
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+ORACLE_SQL["op9_top_products"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    ), p AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score
+        FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    ), r AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
