@@ -232,7 +232,7 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
             x = [matcher.features(t) for t in frame["t"]]
             yield pd.DataFrame({"a": [v[0] for v in x], "b": [v[1] for v in x], "y": frame["label"].astype(float)})
 
-    rows = sample.mapInPandas(figures, "a double, b double, y double").orderBy("a", "b", "y").toPandas()
+    rows = sample.mapInPandas(figures, "a double, b double, y double").toPandas().sort_values(["a", "b", "y"])
     x = np.column_stack([np.ones(len(rows)), rows["a"], rows["b"]])
     y = rows["y"].to_numpy()
     w = np.zeros(3)
