@@ -115,8 +115,8 @@ def popcounts(word: Column) -> Column:
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def cells(nodes: DataFrame, bands: list[Band]) -> DataFrame:
-    """Deal (node, words) to grid cells: (cell, role, node, word), word being the first one.
+def cells(nodes: DataFrame, bands: list[Band], carried: int = 1) -> DataFrame:
+    """Deal (node, words) to grid cells: (cell, role, node, w0, ...), with the first ``carried`` words.
 
     Role 0 is a row in its own cell, role 1 one that looks at a neighbouring
     cell, where one segment has one bit more; of two cells at distance 1 only
@@ -136,8 +136,9 @@ def cells(nodes: DataFrame, bands: list[Band]) -> DataFrame:
             looks.append(F.when(count < 2, up))
     home = F.array(*own_cells).cast("array<struct<cell:bigint,role:int>>")
     near = F.filter(F.array(*looks), lambda x: x.isNotNull()).cast("array<struct<cell:bigint,role:int>>") if looks else none
-    word = F.col("words")[0].alias("word")
-    rows = nodes.select("node", word, F.explode(F.concat(home, near)).alias("c")).select("node", "word", "c.*")
+    names = [f"w{i}" for i in range(carried)]
+    words = [F.col("words")[i].alias(n) for i, n in enumerate(names)]
+    rows = nodes.select("node", *words, F.explode(F.concat(home, near)).alias("c")).select("node", *names, "c.*")
     own = nodes.select(F.explode(home).alias("c")).select("c.cell")
     large = own.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
     # Materialized: few rows, whose size then decides how Spark joins them.
@@ -147,7 +148,7 @@ def cells(nodes: DataFrame, bands: list[Band]) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")
     role = F.when((F.col("role") == 0) & mine, 0).otherwise(1)
     cell = F.col("cell").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 30)).alias("cell")
-    return dealt.select(cell, role.alias("role"), "node", "word")
+    return dealt.select(cell, role.alias("role"), "node", *names)
 
 
 def _groups(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -182,16 +183,24 @@ def _cell(data: list[np.ndarray], a: int, b: int) -> tuple[np.ndarray, ...]:
     return (own, data[0][a], *(x[a:b] for x in data[2:]))
 
 
-def _near(words: np.ndarray, own: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (row, own row, Hamming distance) within ``distance``; each pair of own rows from both sides."""
-    unsigned = words.view(np.uint64)
-    for a in range(0, len(words), 1024):
-        rows = unsigned[a : a + 1024]
+def _near(words: list[np.ndarray], own: int, limits: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (row, own row, Hamming distance) of pairs within ``limits``; each pair of own rows from both sides.
+
+    The first n words may differ in limits[n - 1] bits.
+    """
+    words = [w.view(np.uint64) for w in words]
+    for a in range(0, len(words[0]), 1024):
         found = []
         for b in range(0, own, 2048):
-            d = np.bitwise_count(rows[:, None] ^ unsigned[None, b : min(own, b + 2048)])
-            i, j = np.nonzero(d <= distance)
-            found.append((i + a, j + b, d[i, j]))
+            d = np.bitwise_count(words[0][a : a + 1024, None] ^ words[0][None, b : min(own, b + 2048)])
+            i, j = np.nonzero(d <= limits[0])
+            d = d[i, j].astype(np.int64)
+            i, j = i + a, j + b
+            for word, limit in zip(words[1:], limits[1:], strict=True):
+                d += np.bitwise_count(word[i] ^ word[j])
+                near = d <= limit
+                i, j, d = i[near], j[near], d[near]
+            found.append((i, j, d))
         i, j, d = (np.concatenate(x) for x in zip(*found))
         other = i != j
         yield i[other], j[other], d[other]
@@ -203,7 +212,7 @@ def spanning(cell_rows: DataFrame, distance: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[np.ndarray] = []
         size = 0
-        for own, _, node, word in _groups(frames, ["node", "word"]):
+        for own, _, node, word in _groups(frames, ["node", "w0"]):
             root = np.arange(len(node))
 
             def find(x: int) -> int:
@@ -212,7 +221,7 @@ def spanning(cell_rows: DataFrame, distance: int) -> DataFrame:
                     x = root[x]
                 return x
 
-            for i, j, _ in _near(word, own, distance):
+            for i, j, _ in _near([word], own, (distance,)):
                 while len(i):
                     # First one link per row, then what those have not joined yet.
                     _, first = np.unique(i, return_index=True)
@@ -241,17 +250,17 @@ def _sorted(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.repartition("cell").sortWithinPartitions("cell", "role")
 
 
-def nearest(cell_rows: DataFrame, distance: int, most: int) -> DataFrame:
-    """Per row and cell the ``most`` nearest rows within ``distance``: (cell, a, b).
+def nearest(cell_rows: DataFrame, limits: tuple[int, ...], most: int) -> DataFrame:
+    """Per row and cell the ``most`` nearest rows within ``limits``: (cell, a, b).
 
     Where a row has more, each row concerned is also listed with itself, and
     the cell is one that ``others`` must search.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for own, cell, node, word in _groups(frames, ["node", "word"]):
+        for own, cell, node, *words in _groups(frames, ["node", *(f"w{n}" for n in range(len(limits)))]):
             parts = []
-            for i, j, d in _near(word, own, distance):
+            for i, j, d in _near(words, own, limits):
                 if not len(i):
                     continue
                 order = np.lexsort((node[j], d, i))
@@ -270,12 +279,12 @@ def nearest(cell_rows: DataFrame, distance: int, most: int) -> DataFrame:
     return _sorted(cell_rows).mapInPandas(run, "cell long, a long, b long")
 
 
-def others(cell_rows: DataFrame, distance: int) -> DataFrame:
-    """All pairs (a, b) within ``distance`` whose rows (cell, role, node, word, component) are not yet connected."""
+def others(cell_rows: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """All pairs (a, b) within ``limits`` whose rows (cell, role, node, w0, ..., component) are not yet connected."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for own, _, node, word, comp in _groups(frames, ["node", "word", "component"]):
-            for i, j, _ in _near(word, own, distance):
+        for own, _, node, comp, *words in _groups(frames, ["node", "component", *(f"w{n}" for n in range(len(limits)))]):
+            for i, j, _ in _near(words, own, limits):
                 apart = comp[i] != comp[j]
                 if apart.any():
                     a, b = node[i[apart]], node[j[apart]]
@@ -312,10 +321,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, key: str
     return prints.join(names, "fp").select(key, text_of, "component_id")
 
 
-#: The stage on similarity: words of the fingerprint, its bands, and the distance in the first word that is verified.
+#: The stage on similarity: words of the fingerprint, its bands, and the bits that the first word and the first two may differ in.
 WIDE_SEEDS = (SEED, 43, 44, 45)
 WIDE_BANDS = [Band(w, low, 10, 1) for w in range(4) for low in (0, 20, 40)]
-WIDE_DISTANCE = 18
+WIDE_LIMITS = (18, 31)
 NEAREST = 2
 
 
@@ -325,9 +334,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     Rows link if the sets of their ``width``-word shingles have a Jaccard
     similarity of ``similarity`` or more. Candidates come from the segment
     popcounts of a 256-bit SimHash (cells at Manhattan distance 1 or less in
-    one of twelve bands, then 18 bits or fewer in its first word, which a pair
-    at 0.8 exceeds once in several hundred), and each link is verified on the
-    shingles. First every row is verified against its nearest candidates, then
+    one of twelve bands, then 18 bits or fewer in its first word and 31 in its
+    first two, which a pair at 0.8 exceeds once in some hundred), and each link
+    is verified on the shingles. First every row is verified against its nearest candidates, then
     all further candidates that are still in another group, so nothing is
     capped and copies are not paired. Null and empty texts are one group.
     Rows equal in key and text are one; a null key counts as largest.
@@ -337,8 +346,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_tk").alias("tk"))).alias("first")
     nodes = rows.groupBy("content").agg(first, F.min("words").alias("words"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    grid = cells(nodes, WIDE_BANDS)
-    found = materialize(nearest(grid, WIDE_DISTANCE, NEAREST), "near")
+    grid = cells(nodes, WIDE_BANDS, len(WIDE_LIMITS))
+    found = materialize(nearest(grid, WIDE_LIMITS, NEAREST), "near")
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("first.id").alias(key), F.col("first.tk").alias("_tk"))
     sets = materialize(_shingle_sets(keyed, wanted, width, key, text), "shingles")
@@ -347,7 +356,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     joined = components(links)
     crowded = materialize(found.where("a = b").select("cell").distinct(), "crowded")
     label = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rest = others(grid.join(crowded, "cell", "left_semi").join(label, "node"), WIDE_DISTANCE)
+    rest = others(grid.join(crowded, "cell", "left_semi").join(label, "node"), WIDE_LIMITS)
     more = materialize(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links")
     groups = components(links.union(more))
     # A node that is not the first of its group goes, with all of its copies.
@@ -371,7 +380,7 @@ def _rows_of(keyed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 
 
 def _shingle_sets(keyed: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(node, shingles binary): the sorted distinct shingle hashes of each wanted row."""
+    """(node, shingles binary): the sorted distinct shingle hashes of each wanted row; repeated rows repeat theirs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -385,7 +394,7 @@ def _shingle_sets(keyed: DataFrame, wanted: DataFrame, width: int, key: str, tex
     hit = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tk") == F.col("_t"))
     texts = keyed.select(key, "_tk", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     rows = texts.join(names.hint("shuffle_hash"), hit).select("node", "_text")
-    return rows.mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
+    return rows.mapInPandas(run, "node long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -403,4 +412,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct()
