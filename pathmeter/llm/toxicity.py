@@ -177,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
         .orderBy(F.desc("weight"), "term").limit(MAX_TERMS)
     )
     terms = pruned({r["term"]: r["weight"] for r in best.collect()})
+    if not terms:
+        return Lexicon({}, ())
     matcher = Matcher(Lexicon(terms, EXCEPTIONS))
     lexicon = Lexicon(terms, EXCEPTIONS + _harmless(sample, matcher))
     return _calibrated(sample, lexicon)
@@ -250,6 +252,8 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
     last = np.append(np.diff(z[order]) != 0, True)
     k = int(np.argmax(np.where(last, f1, -1)))
     cut = (z[order][k] + (z[order][k + 1] if k + 1 < len(z) else z[order][k])) / 2
+    # A text without any term is never rejected, however few labels there are.
+    cut = max(cut, float(w[0]) + 1.0)
     shift = math.log(THRESHOLD / (1 - THRESHOLD)) - cut
     return Lexicon(lexicon.terms, lexicon.exceptions, float(w[0] + shift), (float(w[1]), float(w[2])))
 
