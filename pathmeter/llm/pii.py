@@ -187,8 +187,8 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
         kind = m.lastgroup
         made = pseudonym(kind, m.group(kind), key)
         if made is None:
-            # Not valid as this kind: another may start inside it.
-            pos = m.start() + 1
+            # Not valid as this kind: another may start inside it, but part of a long number is no phone.
+            pos = m.end() if kind == "card" else m.start() + 1
             continue
         out += [text[at : m.start(kind)], made]
         spans.append((kind, m.start(kind), m.end(kind)))
