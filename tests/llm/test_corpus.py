@@ -212,3 +212,12 @@ def test_pipeline_runs_and_stages_keep_the_columns(spark):
     assert 0 < len(out) <= docs.count() and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in out)
     for _, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_registered_sql_agrees(spark):
+    import oracle
+    from pathmeter.llm import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for name, sql in ORACLE_SQL.items():
+        assert oracle.difference(QUERIES[name](spark, sf), oracle.connect(sf), sql) is None
