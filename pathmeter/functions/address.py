@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = rf"{_BYTE}(\.{_BYTE}){{3}}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_GROUPS = f"({_GROUP}(:{_GROUP})*)?"
 
-def _family(text: str | None) -> str | None:
-    try:
-        return str(ipaddress.ip_address(text).version)
-    except ValueError:
-        return None
 
+def address_family(address: Column | str) -> Column:
+    """'4' or '6' for a valid address, else null.
 
-@F.pandas_udf(T.StringType())
-def address_family(addresses: pd.Series) -> pd.Series:
-    """'4' or '6' for a valid address, else null; no built-in parses IPv6."""
-    return addresses.map(_family, na_action="ignore")
+    IPv4 without leading zeros; IPv6 with at most one "::", which stands for a
+    group at least, an embedded IPv4 address at its end and a zone id.
+    """
+    address = F.col(address) if isinstance(address, str) else address
+    zoned = address.rlike(r"\A[^%]*(%[^%]+)?\z")
+    body = F.regexp_replace(F.substring_index(address, "%", 1), rf":{_V4}\z", ":0:0")
+    groups = F.regexp_count(body, F.lit(_GROUP))
+    full = body.rlike(rf"\A{_GROUP}(:{_GROUP}){{7}}\z")
+    short = body.rlike(rf"\A{_GROUPS}::{_GROUPS}\z") & (groups <= 7)
+    return F.when(address.rlike(rf"\A{_V4}\z"), "4").when(zoned & (full | short), "6")
 
 
 def audit_code(family: Column | str) -> Column:

@@ -53,8 +53,12 @@ def document_kind(doc: Column | str) -> Column:
 
 
 def merge_fields(current: Column | str, updates: Column | str) -> Column:
-    """All existing fields with the given ones overwritten, also by null."""
-    current = F.col(current) if isinstance(current, str) else current
-    updates = F.col(updates) if isinstance(updates, str) else updates
+    """All existing fields with the given ones overwritten, also by null.
+
+    A null map counts as empty on either side, so it loses no fields.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    current = F.coalesce(F.col(current) if isinstance(current, str) else current, empty)
+    updates = F.coalesce(F.col(updates) if isinstance(updates, str) else updates, empty)
     kept = F.map_filter(current, lambda k, v: ~F.map_contains_key(updates, k))
     return F.map_concat(kept, updates)

@@ -40,7 +40,8 @@ def add_leaves(tree, paths: list[str], values: list[str], types: list[str]) -> N
 def _parsed(doc: str | None):
     try:
         return json.loads(doc) if doc is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
+        # Not JSON, or nested deeper than the parser goes.
         return None
 
 
@@ -48,7 +49,7 @@ def leaf_paths(documents: DataFrame, key: str = "doc_id", doc: str = "doc") -> D
     """(key, path, value, type) of every scalar below the root.
 
     Empty containers, documents that are a bare scalar and unreadable text give
-    no rows. Types carry Python's names: str, int, float, bool, NoneType.
+    no rows; text nested too deep for the parser is unreadable. Types carry Python's names: str, int, float, bool, NoneType.
     """
     names = ["key", "path", "value", "type"]
 

@@ -173,11 +173,12 @@ def win_03(spark, sf_dir):
     "win_04_cycle_number",
     f"""WITH {views.PROBE_SQL}
 SELECT site_id, ts, row_number() OVER (PARTITION BY site_id ORDER BY ts, event_id) AS cycle_number
-FROM probe WHERE provider_ord = 0""",
+FROM (SELECT site_id, cycle, min(ts) AS ts, min(event_id) AS event_id FROM probe GROUP BY site_id, cycle) starts""",
 )
 def win_04(spark, sf_dir):
-    """Number the cycles of a site from their start times."""
-    starts = views.probe(spark, sf_dir).where("provider_ord = 0").select("site_id", "ts", "event_id")
+    """Number the cycles of a site from their start times, the earliest row of any provider."""
+    starts = views.probe(spark, sf_dir).groupBy("site_id", "cycle").agg(F.min("ts").alias("ts"), F.min("event_id").alias("event_id"))
+    starts = starts.select("site_id", "ts", "event_id")
     return ordered.number_rows(starts, ["site_id"], ["ts", "event_id"], "cycle_number").drop("event_id")
 
 

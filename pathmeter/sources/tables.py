@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +50,22 @@ def in_days(day: Column, instant: Column) -> Column:
 # --------------------------------------------------------- calibrated settings
 
 
-def write_calibrated(config: DataFrame, path: str) -> None:
-    """One row per site; a new calibration replaces the table."""
-    config.write.mode("overwrite").parquet(path)
+def write_calibrated(config: DataFrame, path: str, run: str | None = None) -> None:
+    """One row per site calibrated in this run; earlier runs stay.
+
+    Each run owns a folder, named by its start in UTC unless ``run`` is given,
+    so readers always see whole runs and other sites keep their settings.
+    """
+    run = run or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    config.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def read_calibrated(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The settings of the latest run of every site."""
+    runs = spark.read.option("basePath", path).parquet(path)
+    columns = [c for c in runs.columns if c != "run"]
+    latest = runs.groupBy("site_id").agg(F.max_by(F.struct(*columns), F.col("run").cast("string")).alias("latest"))
+    return latest.select("latest.*")
 
 
 # -------------------------------------------------------------- policy actions

@@ -72,3 +72,14 @@ def test_stored_settings_fall_back(spark, tmp_path):
     sites = spark.createDataFrame([(1,), (2,)], "site_id bigint")
     got = {r.site_id: r for r in providers.thresholds_or_default(sites, tables.read_calibrated(spark, str(tmp_path / "c"))).collect()}
     assert (got[1].peer_warning, got[2].peer_warning, got[2].switch_margin) == (120, 12, 5)
+
+
+def test_a_calibration_keeps_the_other_sites(spark, tmp_path):
+    path = str(tmp_path / "c")
+    first = calibration.calibrated_config(metrics(spark, {1: ([20, 60], [40, 90], [4, 8], 12), 2: ([20, 60], [40, 90], [4, 8], 12)}))
+    tables.write_calibrated(first, path, "1")
+    tables.write_calibrated(calibration.calibrated_config(metrics(spark, {2: ([5, 6.25], [9, 12], [0.4, 0.6], 1)})), path, "2")
+    stored = tables.read_calibrated(spark, path)
+    assert stored.columns == first.columns
+    got = {r.site_id: r.peer_warning for r in stored.collect()}
+    assert got == {1: 120, 2: 12}

@@ -1,4 +1,6 @@
+import ipaddress
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +63,30 @@ def test_strip_and_preview(spark):
     assert [r.p for r in got] == [s[:50] + ("..." if len(s) > 50 else "") for s in samples]
 
 
+def test_merge_fields_keeps_fields_without_updates(spark):
+    df = spark.createDataFrame([({"a": "1"}, None), (None, {"b": "2"}), (None, None)], "c map<string,string>, u map<string,string>")
+    assert [r[0] for r in df.select(text.merge_fields("c", "u")).collect()] == [{"a": "1"}, {"b": "2"}, {}]
+
+
+def test_too_deep_documents_are_unreadable(spark):
+    df = spark.createDataFrame([(1, "[" * 200_000 + "]" * 200_000), (2, '{"a": 1}')], "doc_id bigint, doc string")
+    assert [r.doc_id for r in jsonpaths.leaf_paths(df).collect()] == [2]
+
+
+def test_address_family_is_that_of_the_standard_library(spark):
+    rng = random.Random(6)
+    parts = ["1", "255", "256", "01", ".", ".", ":", "::", "ffff", "fe80", "12345", "%", "eth0", "g", " "]
+    texts = {"".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)} | {":".join("1" * n) for n in range(10)}
+    texts |= {"1.2.3.4", "::", "::1", "fe80::1%eth0", "::1%", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1.2.3.4\n", "::1\n", "", "::1.2.3.4.5"}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "a string")
+    for r in df.select("a", address.address_family("a").alias("f")).collect():
+        try:
+            want = None if r.a is None else str(ipaddress.ip_address(r.a).version)
+        except ValueError:
+            want = None
+        assert r.f == want, r.a
+
+
 def test_merge_fields_overwrites_with_null(spark):
     df = spark.sql("select map('a', '1', 'b', '2') c, map('b', cast(null as string), 'n', '3') u")
     assert df.select(text.merge_fields("c", "u")).first()[0] == {"a": "1", "b": None, "n": "3"}

@@ -5,13 +5,14 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from pathmeter import plans
 from pathmeter.plans import views
 from pathmeter.plans.views import PROVIDERS
 from pathmeter.operators import dashboard, failover, smoothing
 from pathmeter.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
-STATIC = [n for n in entry.queries() if not n.startswith(("str_", "snk_"))]
+STATIC = [n for n in plans.QUERIES if not n.startswith(("str_", "snk_"))]
 
 
 def plan(df):
