@@ -135,7 +135,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id
                 ids = encode(enc, t or "")
                 joined = ",".join([names[i] for i in ids])
                 out.append((len(ids), _hex(joined.encode()), _hex(enc.decode_bytes(ids))))
-            result = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            result = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
             result.insert(0, "k", frame["k"].array)
             yield result
 

@@ -90,6 +90,8 @@ def _depths(frame: pd.DataFrame, least: int) -> pd.DataFrame:
     cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1))
     depths = [pairs[a:b, 1].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
     out = frame[["none", "id", "tk", "idx", "r0"]].copy()
+    if out["id"].dtype.kind not in "iuf":
+        out["id"] = out["id"].astype(object)
     out["ahead"] = (end - at).astype(np.int32)
     out["depths"] = depths
     return out

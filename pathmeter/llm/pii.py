@@ -218,7 +218,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 new, found = (None, []) if t is None else replace(t, secret)
                 texts.append(new)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            yield pd.DataFrame({"text": texts, "spans": spans})
+            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
     columns = [c for c in docs.columns if c not in (text, "pii_spans", "_pii")]
     done = docs.select(*[F.col(f"`{c}`") for c in columns], made(F.col(text)).alias("_pii"))

@@ -92,9 +92,9 @@ def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op9_top_products"] = """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
         FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
     ), p AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score
         FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id

@@ -164,10 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
             for t, label in zip(frame["t"], frame["label"], strict=True):
                 tallies[int(label)].update(terms_of(fold(t or "")))
         terms = [t for t in tallies[1]]
-        yield pd.DataFrame({"term": terms, "toxic": [tallies[1][t] for t in terms], "clean": [tallies[0][t] for t in terms]})
+        yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "toxic": [tallies[1][t] for t in terms], "clean": [tallies[0][t] for t in terms]})
         # Terms of clean rows alone matter only where another task saw them in toxic ones.
         rest = [t for t in tallies[0] if t not in tallies[1]]
-        yield pd.DataFrame({"term": rest, "toxic": 0, "clean": [tallies[0][t] for t in rest]})
+        yield pd.DataFrame({"term": pd.Series(rest, dtype=object), "toxic": np.zeros(len(rest), np.int64), "clean": [tallies[0][t] for t in rest]})
 
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     best = (
@@ -216,7 +216,7 @@ def _harmless(sample: DataFrame, matcher: Matcher) -> tuple[str, ...]:
                     after = after.partition(" ")[0]
                     found |= {f"{a} {b}" for a, b in ((before, word), (word, after)) if a and b}
                 made += [(p, int(label)) for p in found]
-        yield pd.DataFrame(made, columns=["phrase", "label"])
+        yield pd.DataFrame({"phrase": pd.Series([p for p, _ in made], dtype=object), "label": np.array([y for _, y in made], np.int32)})
 
     tally = sample.mapInPandas(pairs, "phrase string, label int").groupBy("phrase").agg(
         F.sum("label").alias("toxic"), F.count("*").alias("n")
