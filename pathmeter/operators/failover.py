@@ -54,17 +54,18 @@ def wide_cycles(
 ) -> DataFrame:
     """One row per site and cycle, provider ``i``'s values as ``<name>_<i>``.
 
-    ``avg_<i>`` is the mean of value ``smooth`` over the last ``rows`` cycles. A
-    provider without a row in a cycle takes the ``missing`` values: it counts as
-    failed. ``extra`` are further aggregates of the cycle. Cycles must be
-    gap-free per site. All of it costs one shuffle, on (site, chunk).
+    ``avg_<i>`` is the mean of value ``smooth`` over the last ``rows`` cycles
+    that occur. A provider without a row in a cycle takes the ``missing`` values:
+    it counts as failed; a cycle without any row is skipped. ``extra`` are
+    further aggregates of the cycle. All of it costs one shuffle of the
+    measurements, on (site, chunk).
     """
     others = [c for c in measurements.columns if c not in values and c != "provider"]
     flat = measurements.where(F.col("provider").isin(providers)).select(
         "provider", *others, *[v.alias(name) for name, v in values.items()]
     )
     if rows > 1:
-        placed = ordered.add_halo(flat, "cycle", rows - 1, chunk)
+        placed = ordered.add_halo(flat, ["site_id"], "cycle", rows - 1, chunk)
     else:
         placed = flat.withColumn("_chunk", ordered.whole_div("cycle", chunk)).withColumn("_halo", F.lit(False))
 

@@ -21,16 +21,69 @@ def whole_div(pos: str, size: int) -> Column:
     return F.expr(f"`{pos}` div {int(size)}L")
 
 
-def add_halo(df: DataFrame, pos: str, back: int, chunk: int = CHUNK) -> DataFrame:
-    """Add ``_chunk`` and repeat the last ``back`` positions of a chunk in the
-    next one, marked by ``_halo``. ``pos`` must be gap-free per key."""
-    if not 0 < back <= chunk:
-        raise ValueError("the halo must fit into one chunk")
+def add_halo(df: DataFrame, keys: list[str], pos: str, back: int, chunk: int = CHUNK) -> DataFrame:
+    """Add ``_chunk`` and repeat the last ``back`` positions before a chunk in
+    it, marked by ``_halo``.
+
+    ``pos`` may have gaps: what is repeated are the last positions that occur,
+    however far back, so windows over rows do not depend on ``chunk``.
+    """
+    if back <= 0:
+        raise ValueError("the halo must hold a row")
     home = whole_div(pos, chunk)
-    copies = F.when(
-        F.pmod(F.col(pos), F.lit(chunk)) >= chunk - back, F.array(home, home + 1)
-    ).otherwise(F.array(home))
-    return df.withColumn("_chunk", F.explode(copies)).withColumn("_halo", F.col("_chunk") != home)
+    copies = F.when(_at_end(pos, back, chunk), F.array(home, home + 1)).otherwise(F.array(home))
+    further = session.materialize(_over_gaps(df, keys, pos, back, chunk), "gaps")
+    if not further.isEmpty():
+        df = df.join(further, [*keys, pos], "left")
+        copies = F.concat(copies, F.coalesce("_further", F.array().cast("array<bigint>")))
+    placed = df.withColumn("_chunk", F.explode(copies)).withColumn("_halo", F.col("_chunk") != home)
+    return placed.drop("_further")
+
+
+def _at_end(pos: str, back: int, chunk: int) -> Column:
+    return F.pmod(F.col(pos), F.lit(chunk)) >= chunk - back
+
+
+def _newest(positions: Column, back: int) -> Column:
+    return F.slice(F.sort_array(positions, asc=False), 1, back)
+
+
+def _over_gaps(df: DataFrame, keys: list[str], pos: str, back: int, chunk: int) -> DataFrame:
+    """(keys, pos, _further): the chunks beyond the next one, or reached from
+    before the end of their own, that need a position because of gaps.
+
+    Only keys and positions are read, and a chunk has at most ``chunk`` of them.
+    """
+    lists = df.groupBy(*keys, whole_div(pos, chunk).alias("_chunk")).agg(
+        _newest(F.collect_set(pos), back).alias("_last")
+    )
+    carried = _carried(lists, keys, "_chunk", back).select(
+        *keys, F.col("_chunk").alias("_into"), F.explode("_carry").alias(pos)
+    )
+    usual = (whole_div(pos, chunk) + 1 == F.col("_into")) & _at_end(pos, back, chunk)
+    return carried.where(~usual).groupBy(*keys, pos).agg(F.collect_list("_into").alias("_further"))
+
+
+def _carried(
+    lists: DataFrame, keys: list[str], at: str, back: int, block: int = CHUNK, levels: int = 2
+) -> DataFrame:
+    """Add ``_carry``, the newest ``back`` of the positions ``_last`` in the rows
+    of the key before this one; scanned within blocks, then over blocks."""
+    frame = Window.orderBy(at).rowsBetween(-back, -1)
+    if levels <= 1:
+        return lists.withColumn(
+            "_carry", _newest(F.flatten(F.collect_list("_last").over(frame.partitionBy(*keys))), back)
+        )
+    name = f"_block{levels}"
+    blocked = lists.withColumn(name, whole_div(at, block))
+    inner = blocked.withColumn("_inner", F.flatten(F.collect_list("_last").over(frame.partitionBy(*keys, name))))
+    totals = blocked.groupBy(*keys, name).agg(_newest(F.flatten(F.collect_list("_last")), back).alias("_last"))
+    before = _carried(totals, keys, name, back, block, levels - 1).select(*keys, name, "_carry")
+    return (
+        inner.join(before, [*keys, name])
+        .withColumn("_carry", _newest(F.concat("_inner", "_carry"), back))
+        .drop(name, "_inner")
+    )
 
 
 def trailing_mean(
@@ -42,14 +95,12 @@ def trailing_mean(
     out: str,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Mean over the last ``rows`` rows of each key (fewer at the start).
-
-    ``pos`` must be gap-free per key; :func:`number_rows` makes it so.
-    """
+    """Mean over the last ``rows`` rows of each key (fewer at the start), whatever
+    the gaps in ``pos``, which is unique per key."""
     value = F.col(value) if isinstance(value, str) else value
     window = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(-(rows - 1), 0)
     return (
-        add_halo(df, pos, rows - 1, chunk)
+        add_halo(df, keys, pos, rows - 1, chunk)
         .withColumn(out, F.avg(value).over(window))
         .where(~F.col("_halo"))
         .drop("_chunk", "_halo")
@@ -130,30 +181,39 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> D
 def run_length(
     df: DataFrame, keys: list[str], pos: str, value: str, out: str, chunk: int = CHUNK
 ) -> DataFrame:
-    """Length of the current run of equal ``value`` ending at each row.
+    """Rows in the current run of equal ``value`` ending at each row.
 
-    ``pos`` must be gap-free per key. A run starts where the value differs from
-    the row before; the latest start inside the chunk, or else the latest start
-    of any chunk before, gives the length.
+    ``pos`` is unique per key and may have gaps; rows are counted, not
+    positions. A run starts where the value differs from the row before. Chunks
+    number their rows; the rows before a chunk, the value it continues and the
+    start of the run it continues are scanned over one summary row per chunk.
     """
     step = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    before = F.lag(value).over(step)
-    starts = (
-        add_halo(df, pos, 1, chunk)
-        .withColumn("_start", F.when(before.isNull() | (before != F.col(value)), F.col(pos)))
+    changed = (F.col("_row") > 1) & ~F.lag(value).over(step).eqNullSafe(F.col(value))
+    rows = (
+        df.withColumn("_chunk", whole_div(pos, chunk))
+        .withColumn("_row", F.row_number().over(step).cast("bigint"))
+        .withColumn("_start", F.when(changed, F.col("_row")))
         .withColumn("_start", F.max("_start").over(step.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(~F.col("_halo"))
     )
-    # The halo row, being first in its chunk, has no row before it and reports
-    # itself as a start; such a start says "the run reaches back past the chunk".
-    first = F.col("_chunk") * chunk
-    starts = starts.withColumn("_start", F.when(F.col("_start") >= first, F.col("_start")))
-    tails = starts.groupBy(*keys, "_chunk").agg(F.max("_start").alias("_last"))
-    carries = prefix_scan(tails, keys, "_chunk", "_last", "max", "_carry").select(
-        *keys, "_chunk", "_carry"
+    ends = rows.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("_start").alias("_last"),
+        F.min_by(F.struct(value), pos).alias("_first_value"),
+        F.struct(F.max("_chunk").alias("at"), F.max_by(F.struct(value), pos).alias("of")).alias("_last_value"),
+    )
+    ends = prefix_scan(ends, keys, "_chunk", "_n", "sum", "_skip")
+    ends = prefix_scan(ends, keys, "_chunk", "_last_value", "max", "_before")
+    skip = F.coalesce("_skip", F.lit(0))
+    new = ~F.coalesce(F.col("_before.of").eqNullSafe(F.col("_first_value")), F.lit(False))
+    ends = ends.withColumns(
+        {"_skip": skip, "_fresh": F.when(new, skip + 1), "_opened": F.coalesce(skip + F.col("_last"), F.when(new, skip + 1))}
     )
+    ends = prefix_scan(ends, keys, "_chunk", "_opened", "max", "_carry")
+    carries = ends.select(*keys, "_chunk", "_skip", F.coalesce("_fresh", "_carry").alias("_open"))
+    begin = F.coalesce(F.col("_skip") + F.col("_start"), F.col("_open"))
     return (
-        starts.join(carries, [*keys, "_chunk"])
-        .withColumn(out, F.col(pos) - F.coalesce("_start", "_carry") + 1)
-        .drop("_chunk", "_halo", "_start", "_carry")
+        rows.join(carries, [*keys, "_chunk"])
+        .withColumn(out, F.col("_skip") + F.col("_row") - begin + 1)
+        .drop("_chunk", "_row", "_start", "_skip", "_open")
     )

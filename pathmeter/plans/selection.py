@@ -9,7 +9,7 @@ from pathmeter import session
 from pathmeter.operators import calibration, failover, ordered, smoothing
 from pathmeter.params import FailoverParams, Thresholds
 from pathmeter.plans import views
-from pathmeter.plans.registry import query
+from pathmeter.plans.registry import ORACLE_SQL, query
 from pathmeter.plans.views import PROVIDERS
 from pathmeter.sources import providers as provider_source
 
@@ -325,3 +325,52 @@ def joi_09(spark, sf_dir):
     found = failover.configured_rules(dimension, rules).withColumn("configured", F.lit(True))
     missing = failover.unconfigured_providers(dimension, rules).withColumn("configured", F.lit(False))
     return found.unionByName(missing, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- cycles left out
+
+# Single cycles and whole stretches are missing, as when a collector is down.
+KEPT = "(cycle * 37 + site_id) % 11 > 3 and cycle % 60 < 41"
+GAP_CHUNK = 16
+
+
+def _with_gaps(sql: str) -> str:
+    """The same SQL over the cycles kept."""
+    return sql.replace("probe AS (", "whole AS (", 1).replace("FROM ev)", f"FROM ev),\nprobe AS (SELECT * FROM whole WHERE {KEPT})", 1)
+
+
+def measured_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.measurements(spark, sf_dir).where(KEPT)
+
+
+@query(
+    "win_01_trailing_mean_over_gaps",
+    f"WITH {_with_gaps(views.SMOOTH_SQL)} SELECT site_id, cycle, provider, score, smoothed FROM smooth",
+)
+def win_01_gaps(spark, sf_dir):
+    scored = views.scored(spark, sf_dir).where(KEPT).select(*KEYS, "score")
+    return smoothing.trailing_score(scored, chunk=GAP_CHUNK)
+
+
+@query("win_07_candidate_streak_over_gaps", _with_gaps(ORACLE_SQL["win_07_candidate_streak"]))
+def win_07_gaps(spark, sf_dir):
+    best = smoothing.best_provider(measured_with_gaps(spark, sf_dir), PROVIDERS, chunk=GAP_CHUNK)
+    return smoothing.candidate_streak(best.drop("best_score"), PROVIDERS[0], chunk=GAP_CHUNK)
+
+
+# The recursion steps over the numbers of the cycles that occur.
+NUMBERED = "(SELECT *, dense_rank() OVER (PARTITION BY site_id ORDER BY cycle) - 1 AS place FROM smooth)"
+
+
+@query(
+    "str_02_failover_fold_over_gaps",
+    "WITH RECURSIVE "
+    + _with_gaps(FOLD_SQL).replace(
+        "FROM smooth GROUP BY site_id, cycle)", f"FROM (SELECT * REPLACE (place AS cycle) FROM {NUMBERED}) GROUP BY site_id, cycle)"
+    )
+    + f"""
+SELECT d.site_id, o.cycle, current_provider, reason, counter, provider_changed, new_provider
+FROM decision d JOIN (SELECT DISTINCT site_id, cycle, place FROM {NUMBERED}) o ON o.site_id = d.site_id AND o.place = d.cycle""",
+)
+def str_02_gaps(spark, sf_dir):
+    return failover.fold(measured_with_gaps(spark, sf_dir), PROVIDERS, SUSTAINED, chunk=GAP_CHUNK).drop("candidate")

@@ -27,7 +27,7 @@ def by_key(df, *columns):
 def test_trailing_mean(data, rows, chunk):
     if rows == 1:
         with pytest.raises(ValueError):
-            ordered.add_halo(data, "pos", 0, chunk)
+            ordered.add_halo(data, ["k"], "pos", 0, chunk)
         return
     got = by_key(ordered.trailing_mean(data, ["k"], "pos", "x", rows, "m", chunk), "x", "m")
     for values in got.values():
@@ -83,3 +83,26 @@ def test_number_rows_with_gaps(data):
     got = by_key(ordered.number_rows(sparse, ["k"], ["pos"], "n"), "n")
     for values in got.values():
         assert [n for (n,) in values] == list(range(1, len(values) + 1))
+
+
+def gappy(spark, n=160):
+    """Single positions, whole chunks and long stretches are missing."""
+    rng = random.Random(11)
+    rows = [(k, i, float(rng.randint(0, 99)), rng.choice("aab")) for k in ("hot", "few") for i in range(n if k == "hot" else 30)
+            if rng.random() < 0.5 and i % 50 < 31]
+    return spark.createDataFrame(rows, "k string, pos bigint, x double, v string")
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 7, 2048])
+def test_gaps_do_not_show_the_chunk(spark, chunk):
+    df = gappy(spark)
+    means = by_key(ordered.trailing_mean(df, ["k"], "pos", "x", 4, "m", chunk), "x", "m")
+    runs = by_key(ordered.run_length(df, ["k"], "pos", "v", "n", chunk), "v", "n")
+    assert {k: len(v) for k, v in means.items()} == {r.k: r["count"] for r in df.groupBy("k").count().collect()}
+    for k, values in means.items():
+        run = 0
+        for i, (_, m) in enumerate(values):
+            frame = [x for x, _ in values[max(0, i - 3) : i + 1]]
+            assert m == pytest.approx(sum(frame) / len(frame), abs=1e-9)
+            run = run + 1 if i and runs[k][i - 1][0] == runs[k][i][0] else 1
+            assert runs[k][i][1] == run
