@@ -195,3 +195,54 @@ def router_commands(devices: DataFrame, asn: str = "65000") -> DataFrame:
         F.lit(" bestroute as-path-ignore"),
     )
     return devices.select("device_id", F.posexplode(lines).alias("line_no", "text"))
+
+
+# Sections in the order of a device's text; the fleet-wide ones are the same for
+# every device and therefore not repeated per device.
+SYSTEM, INTERFACES, PREFIX_LISTS, POLICIES, ROUTER, PEERS, FAMILY, SESSIONS, NETWORKS, END = range(1, 11)
+
+
+def device_commands(
+    devices: DataFrame, interfaces: DataFrame, addresses: DataFrame, sessions: DataFrame
+) -> DataFrame:
+    """All of a device's own command rows: (device_id, section, key, step, item, text).
+
+    (section, key, step, item) orders the rows of a device; key is the interface
+    or session. ``devices`` bring their ``local_asn``; a null one is printed as
+    ``None``. The sections PREFIX_LISTS, POLICIES and NETWORKS hold the
+    fleet-wide rows of ``policy.prefix_list_commands``, ``rule_commands`` and
+    ``network_commands``, once for all devices.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def line(section: int, step: int, text: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(step).alias("step"), zero.alias("item"), text.alias("text")
+        )
+
+    asn = F.coalesce(F.col("local_asn").cast("string"), F.lit("None"))
+    own = F.array(
+        line(SYSTEM, 1, F.lit("system-view")),
+        line(SYSTEM, 2, F.concat(F.lit("    sysname "), F.col("name"))),
+        line(ROUTER, 1, F.concat(F.lit("bgp "), asn)),
+        line(ROUTER, 2, F.concat(F.lit(" router-id "), address.router_id("primary_ip4"))),
+        line(FAMILY, 1, F.lit("ipv6-family unicast")),
+        line(FAMILY, 2, F.lit(" bestroute as-path-ignore")),
+        line(END, 1, F.lit("commit")),
+        line(END, 2, F.lit("return")),
+    )
+    columns = ["device_id", "section", "key", "step", "item", "text"]
+    fixed = devices.select("device_id", zero.alias("key"), F.inline(own)).select(*columns)
+    of_interfaces = interface_commands(interfaces, addresses).select(
+        "device_id", F.lit(INTERFACES).alias("section"), F.col("interface_id").alias("key"), "step", "item", "text"
+    )
+    # Line 0 of a session names the peer's AS; all of these come before the rest.
+    of_sessions = session_commands(devices, sessions).select(
+        "device_id",
+        F.when(F.col("line_no") == 0, PEERS).otherwise(SESSIONS).alias("section"),
+        F.col("session_id").alias("key"),
+        F.col("line_no").alias("step"),
+        zero.alias("item"),
+        "text",
+    )
+    return fixed.unionByName(of_interfaces).unionByName(of_sessions)

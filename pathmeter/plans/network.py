@@ -374,3 +374,45 @@ FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l) x""",
 )
 def arr_03_router(spark, sf_dir):
     return inventory.router_commands(devices(spark, sf_dir))
+
+
+@query(
+    "arr_03_device_commands",
+    f"""WITH {MASKED_SQL},
+e AS (SELECT *, name NOT LIKE '%LoopBack%' AS routed FROM interface WHERE enabled),
+s AS (SELECT session.* FROM session JOIN device USING (device_id)),
+lines AS (
+  SELECT device_id, 1 AS section, 0 AS key, 1 AS step, 0 AS item, 'system-view' AS text FROM device
+  UNION ALL SELECT device_id, 1, 0, 2, 0, '    sysname ' || name FROM device
+  UNION ALL SELECT device_id, 2, interface_id, 1, 0, 'interface ' || name FROM e
+  UNION ALL SELECT device_id, 2, interface_id, 2, 0, ' description ' || description FROM e WHERE description <> ''
+  UNION ALL SELECT device_id, 2, e.interface_id, 3, address_id, ' ip address ' || ip || ' ' || {MASK_SQL}
+            FROM e JOIN masked a ON a.interface_id = e.interface_id AND a.family = 4
+  UNION ALL SELECT device_id, 2, interface_id, 4, 0, ' ipv6 enable' FROM e WHERE routed
+  UNION ALL SELECT device_id, 2, e.interface_id, 5, address_id, ' ipv6 address ' || address
+            FROM e JOIN masked a ON a.interface_id = e.interface_id AND a.family = 6 WHERE routed
+  UNION ALL SELECT device_id, 2, interface_id, 6, 0, ' undo shutdown' FROM e
+  UNION ALL SELECT device_id, 2, interface_id, 7, 0, 'quit' FROM e
+  UNION ALL SELECT device_id, 5, 0, 1, 0, 'bgp ' || CAST(65000 + site_id AS VARCHAR) FROM device
+  UNION ALL SELECT device_id, 5, 0, 2, 0, ' router-id ' || coalesce(split_part(primary_ip4, '/', 1), '0.0.0.0') FROM device
+  UNION ALL SELECT device_id, 6, session_id, 0, 0, ' peer ' || peer || ' as-number ' || CAST(remote_asn AS VARCHAR) FROM s
+  UNION ALL SELECT device_id, 7, 0, 1, 0, 'ipv6-family unicast' FROM device
+  UNION ALL SELECT device_id, 7, 0, 2, 0, ' bestroute as-path-ignore' FROM device
+  UNION ALL SELECT device_id, 8, session_id, 1, 0, ' peer ' || peer || ' enable' FROM s
+  UNION ALL SELECT device_id, 8, session_id, 2, 0, ' Y' FROM s
+  UNION ALL SELECT device_id, 8, session_id, 2 + i, 0, ' peer ' || peer || ' route-policy ' || export_policies[i] || ' export'
+            FROM (SELECT *, unnest(range(1, len(export_policies) + 1)) AS i FROM s) x
+  UNION ALL SELECT device_id, 8, session_id, 3 + len(export_policies), 0, ' peer ' || peer || ' advertise-community' FROM s
+  UNION ALL SELECT device_id, 8, session_id, 3 + len(export_policies) + i, 0,
+                   ' peer ' || peer || ' route-policy ' || import_policies[i] || ' import'
+            FROM (SELECT *, unnest(range(1, len(import_policies) + 1)) AS i FROM s) x
+  UNION ALL SELECT device_id, 10, 0, 1, 0, 'commit' FROM device
+  UNION ALL SELECT device_id, 10, 0, 2, 0, 'return' FROM device)
+SELECT device_id, CAST(section AS INTEGER) AS section, CAST(key AS BIGINT) AS key, CAST(step AS INTEGER) AS step,
+       CAST(item AS BIGINT) AS item, text FROM lines""",
+)
+def arr_03_device(spark, sf_dir):
+    own = devices(spark, sf_dir).withColumn("local_asn", 65000 + F.col("site_id"))
+    return inventory.device_commands(
+        own, interfaces(spark, sf_dir), addresses(spark, sf_dir), sessions(spark, sf_dir)
+    )
