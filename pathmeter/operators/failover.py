@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pathmeter import params as P
 from pathmeter import session
-from pathmeter.functions import scoring
+from pathmeter.functions import scoring, text
 from pathmeter.functions.steps import (
     State,
     all_states,
@@ -436,6 +436,32 @@ def policy_actions(
     return joined.select("site_id", "cycle", "provider", F.inline(updates))
 
 
+def merged_rules(actions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The whole rule each action of :func:`policy_actions` asks for.
+
+    ``rules`` holds (site_id, rule_id, routing_policy, index, action,
+    custom_fields). All existing fields stay, the new one on top of them; a rule
+    without fields, or with a null map, gets the new one alone. The prepend
+    count is a whole number (null if it does not read as one), the preference
+    a text. An action whose rule is not listed comes out with ``found`` false.
+    """
+    listed = rules.select(
+        "site_id", "rule_id", "routing_policy", "index", "action", "custom_fields", F.lit(True).alias("found")
+    )
+    fields = text.merge_fields("custom_fields", F.create_map("field", "value"))
+    merged = actions.join(listed, ["site_id", "rule_id"], "left").withColumn("custom_fields", fields)
+    return merged.select(
+        *actions.columns,
+        F.coalesce("found", F.lit(False)).alias("found"),
+        "routing_policy",
+        "index",
+        "action",
+        "custom_fields",
+        F.try_element_at("custom_fields", F.lit("as_path_prepend_count")).try_cast("int").alias("as_path_prepend_count"),
+        F.try_element_at("custom_fields", F.lit("local_preference")).alias("local_preference"),
+    )
+
+
 def _rule_names(providers: DataFrame) -> DataFrame:
     key = scoring.provider_key("provider")
     return providers.select(
