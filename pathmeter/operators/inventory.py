@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathmeter.functions import address
+from pathmeter.operators import ordered
 
 # Entries of one list in a nested document. Longer lists go on in further pages,
 # so that no row, and no task building one, grows with the data.
@@ -55,13 +56,14 @@ def device_sessions(devices: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def paged_lists(df: DataFrame, key: str, item_id: str, item: Column, out: str, page: int = PAGE) -> DataFrame:
-    """(key, page, out): the items of each key, in pages of about ``page`` entries.
+    """(key, page, out): the items of each key in order, in pages of ``page`` entries.
 
-    Keys with few items have page 0 only. The count of a key is joined back, and
-    the page number is part of the grouping, so a hot key spreads over tasks.
+    A page holds the items numbered page * size to (page + 1) * size - 1 in the
+    order of ``item_id``, so a new last item moves no other. The page number is
+    part of the grouping, so a hot key spreads over tasks.
     """
-    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / page).alias("_pages"))
-    numbered = df.join(counts, key).withColumn("page", F.pmod(F.xxhash64(item_id), F.col("_pages")))
+    numbered = ordered.number_rows(df, [key], [item_id], "_number")
+    numbered = numbered.withColumn("page", F.expr(f"(_number - 1) div {int(page)}L"))
     return numbered.groupBy(key, "page").agg(
         F.array_sort(F.collect_list(item)).alias(out)
     )

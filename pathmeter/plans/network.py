@@ -311,11 +311,16 @@ SELECT d.device_id, CAST(0 AS BIGINT) AS page, d.name, CAST(to_json(interfaces)
 FROM device d LEFT JOIN il ON il.device_id = d.device_id LEFT JOIN sl ON sl.device_id = d.device_id""",
 )
 def agg_14(spark, sf_dir):
+    return _documents(spark, sf_dir, inventory.PAGE)
+
+
+def _documents(spark: SparkSession, sf_dir: str, page: int) -> DataFrame:
     documents = inventory.device_documents(
         devices(spark, sf_dir).select("device_id", "name"),
         interfaces(spark, sf_dir),
         addresses(spark, sf_dir),
         sessions(spark, sf_dir),
+        page,
     )
     return documents.select(
         "device_id",
@@ -326,6 +331,34 @@ def agg_14(spark, sf_dir):
     )
 
 
+# A page size at which most lists of the fixture take several pages.
+SMALL_PAGE = 3
+
+
+@query(
+    "agg_14_device_documents_in_pages",
+    f"""WITH {INVENTORY_SQL},
+an AS (SELECT *, (row_number() OVER (PARTITION BY interface_id ORDER BY address_id) - 1) // {SMALL_PAGE} AS page FROM address),
+al AS (SELECT interface_id, page, list({{'address_id': address_id, 'address': address, 'family': family}} ORDER BY address_id) AS ips
+       FROM an GROUP BY interface_id, page),
+ij AS (SELECT i.*, coalesce(al.page, 0) AS address_page, coalesce(ips, []) AS ips,
+              (row_number() OVER (PARTITION BY device_id ORDER BY i.interface_id, al.page) - 1) // {SMALL_PAGE} AS page
+       FROM interface i LEFT JOIN al ON al.interface_id = i.interface_id),
+il AS (SELECT device_id, page, list({{'interface_id': interface_id, 'address_page': address_page, 'name': name,
+                                     'enabled': enabled, 'ip_addresses': ips}} ORDER BY interface_id, address_page) AS interfaces
+       FROM ij GROUP BY device_id, page),
+sn AS (SELECT *, (row_number() OVER (PARTITION BY device_id ORDER BY session_id) - 1) // {SMALL_PAGE} AS page FROM session),
+sl AS (SELECT device_id, page, list({{'session_id': session_id, 'remote_address': peer || '/127', 'remote_asn': remote_asn}}
+                                    ORDER BY session_id) AS bgp_sessions FROM sn GROUP BY device_id, page),
+both_lists AS (SELECT device_id, page, interfaces, bgp_sessions FROM il FULL JOIN sl USING (device_id, page))
+SELECT d.device_id, coalesce(page, 0) AS page, d.name, CAST(to_json(interfaces) AS VARCHAR) AS interfaces,
+       CAST(to_json(bgp_sessions) AS VARCHAR) AS bgp_sessions
+FROM device d LEFT JOIN both_lists b ON b.device_id = d.device_id""",
+)
+def agg_14_pages(spark, sf_dir):
+    return _documents(spark, sf_dir, SMALL_PAGE)
+
+
 # ---------------------------------------------------------------- command rows
 
 
