@@ -360,6 +360,13 @@ def fold(
     )
 
 
+def unlisted_rows(measurements: DataFrame, providers: list[str]) -> DataFrame:
+    """(site_id, provider, rows): what :func:`fold` leaves out, as its provider is
+    not listed; a null provider counts as one of them."""
+    listed = F.coalesce(F.col("provider").isin(providers), F.lit(False))
+    return measurements.where(~listed).groupBy("site_id", "provider").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def provider_name(index: str, providers: list[str]) -> Column:
     names = F.array(*[F.lit(p) for p in providers])
     return F.when(F.col(index) >= 0, F.get(names, F.col(index)))

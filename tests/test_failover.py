@@ -149,3 +149,19 @@ def test_margin_and_warning_modes(spark):
     warning = collected(failover.fold(data, PROVIDERS, FailoverParams(mode="warning", history=5, warning=20.0)))[0]
     # Smoothed: 6/10, 18/10, 22/10, 24/20, 25.2/28.
     assert [(g[0], g[3]) for g in warning] == [(0, None), (0, None), (0, 1), (1, None), (1, 0)]
+
+
+def test_unlisted_rows_are_counted(spark):
+    df = spark.createDataFrame(
+        [(0, "P0"), (0, "P1"), (0, "P2"), (1, "P2"), (1, "P2"), (1, None)], "site_id bigint, provider string"
+    )
+    got = {tuple(r) for r in failover.unlisted_rows(df, ["P0", "P1"]).collect()}
+    assert got == {(0, "P2", 1), (1, "P2", 2), (1, None, 1)}
+
+
+def test_fold_over_gaps_does_not_show_the_chunk(spark):
+    cycles = random_cycles(120, 2, 9)
+    data = rows(cycles, 0)
+    df = frame(spark, data).where("cycle % 13 < 8 and cycle % 50 < 30")
+    got = {chunk: collected(failover.fold(df, PROVIDERS, chunk=chunk)) for chunk in (4, 2048)}
+    assert got[4] == got[2048]
