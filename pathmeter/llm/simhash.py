@@ -250,17 +250,40 @@ def _sorted(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.repartition("cell").sortWithinPartitions("cell", "role")
 
 
-def nearest(cell_rows: DataFrame, limits: tuple[int, ...], most: int) -> DataFrame:
-    """Per row and cell the ``most`` nearest rows within ``limits``: (cell, a, b).
-
-    Where a row has more, each row concerned is also listed with itself, and
-    the cell is one that ``others`` must search.
+def _met_before(cell: int, bands: list[Band], words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows also meet in a band before that of ``cell``, as far as ``words`` tells."""
+    met = np.zeros(len(i), bool)
+    even = np.uint64(_EVEN)
+    for band in bands[: int(cell) >> 56]:
+        if band.word >= len(words):
+            continue
+        word = words[band.word].view(np.uint64)
+        ones, twos = word & even, word >> np.uint64(1) & even
+        counts = (ones & twos) << np.uint64(1) | ones ^ twos
+        counts = (counts >> np.uint64(band.low) & np.uint64((1 << 2 * band.segments) - 1)).astype(np.int64)
+        # Counts are at most 2, so only one step in one segment gives a power of four.
+        apart = np.abs(counts[i] - counts[j])
+        met |= (apart == 0) | ((apart & (apart - 1) == 0) & (apart & ~_EVEN == 0) if band.radius else False)
+    return met
+
+
+def nearest(cell_rows: DataFrame, bands: list[Band], limits: tuple[int, ...], most: int) -> DataFrame:
+    """Per row and cell the ``most`` nearest rows within ``limits``: (cell, a, b), a < b.
+
+    A pair counts in the first of its bands only, as far as the carried words
+    tell, so a large group does not come out anew from every band. Where a row
+    of a cell has more, a row with equal ends names the cell as one that
+    ``others`` must search.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[np.ndarray] = []
+        size = 0
         for own, cell, node, *words in _groups(frames, ["node", *(f"w{n}" for n in range(len(limits)))]):
-            parts = []
+            crowded = False
             for i, j, d in _near(words, own, limits):
+                new = ~_met_before(cell, bands, words, i, j)
+                i, j, d = i[new], j[new], d[new]
                 if not len(i):
                     continue
                 order = np.lexsort((node[j], d, i))
@@ -268,13 +291,17 @@ def nearest(cell_rows: DataFrame, limits: tuple[int, ...], most: int) -> DataFra
                 starts = np.flatnonzero(np.r_[True, np.diff(i) != 0])
                 rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
                 kept = rank < most
+                crowded |= not kept.all()
                 a, b = node[i[kept]], node[j[kept]]
-                parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-                left = np.unique(np.r_[node[i[~kept]], node[j[~kept]]])
-                parts.append(np.stack([left, left], 1))
-            if parts:
-                made = np.unique(np.concatenate(parts), axis=0)
-                yield pd.DataFrame({"cell": cell, "a": made[:, 0], "b": made[:, 1]})
+                out.append(np.stack([np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)], 1))
+                size += len(a)
+            if crowded:
+                out.append(np.array([[cell, node[0], node[0]]]))
+            if size > 50_000:
+                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["cell", "a", "b"])
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["cell", "a", "b"])
 
     return _sorted(cell_rows).mapInPandas(run, "cell long, a long, b long")
 
@@ -336,9 +363,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     popcounts of a 256-bit SimHash (cells at Manhattan distance 1 or less in
     one of twelve bands, then 18 bits or fewer in its first word and 31 in its
     first two, which a pair at 0.8 exceeds once in some hundred), and each link
-    is verified on the shingles. First every row is verified against its nearest candidates, then
-    all further candidates that are still in another group, so nothing is
-    capped and copies are not paired. Null and empty texts are one group.
+    is verified on the shingles. First every row is verified against its nearest
+    candidates, then all further candidates that are still in another group, so
+    nothing is capped and copies are not paired. Null and empty texts are one group.
     Rows equal in key and text are one; a null key counts as largest.
     """
     keyed = docs.withColumn("_tk", text_key(text))
@@ -347,17 +374,24 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     nodes = rows.groupBy("content").agg(first, F.min("words").alias("words"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     grid = cells(nodes, WIDE_BANDS, len(WIDE_LIMITS))
-    found = materialize(nearest(grid, WIDE_LIMITS, NEAREST), "near")
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("first.id").alias(key), F.col("first.tk").alias("_tk"))
-    sets = materialize(_shingle_sets(keyed, wanted, width, key, text), "shingles")
+    found = materialize(nearest(grid, WIDE_BANDS, WIDE_LIMITS, NEAREST), "near")
     pairs = found.where("a <> b").select("a", "b").distinct()
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = nodes.join(ends, "node").select("node", F.col("first.id").alias(key), F.col("first.tk").alias("_tk"))
+        return materialize(_shingle_sets(keyed, wanted, width, key, text), "shingles")
+
+    sets = sets_of(_ends(pairs))
     links = materialize(_verified(pairs, sets, similarity), "links")
     joined = components(links)
     crowded = materialize(found.where("a = b").select("cell").distinct(), "crowded")
     label = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rest = others(grid.join(crowded, "cell", "left_semi").join(label, "node"), WIDE_LIMITS)
-    more = materialize(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links")
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    late = materialize(_ends(rest).join(sets, "node", "left_anti"), "late")
+    if not late.isEmpty():
+        sets = sets.union(sets_of(late))
+    more = materialize(_verified(rest, sets, similarity), "links")
     groups = components(links.union(more))
     # A node that is not the first of its group goes, with all of its copies.
     named = nodes.join(groups, "node", "left").select("content", "first", F.coalesce("component", "node").alias("component"))
@@ -366,6 +400,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     return _rows_of(keyed, kept, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _rows_of(keyed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """The rows of ``keyed`` that are named, one where key and text are repeated."""
     names = kept.select(F.col(key).alias("_k"), F.col("_tk").alias("_t"))

@@ -97,6 +97,27 @@ def test_one_of_each_near_group_stays(spark):
     assert kept == [0, *range(1 + len(near), 1 + len(near) + len(far)), 50]
 
 
+def test_pairs_met_in_an_earlier_band_are_told():
+    rng = random.Random(12)
+    bands = simhash.WIDE_BANDS
+    start = [rng.getrandbits(63) for _ in range(2)]
+    rows = [[w ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(4))) for w in start] for _ in range(60)]
+    rows = [[w & (1 << 63) - 1 for w in row] for row in rows]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    carried = [np.array([row[k] for row in rows], np.int64) for k in range(2)]
+
+    def counts(row, band):
+        return [(row[band.word] >> band.low + 2 * s & 3).bit_count() for s in range(band.segments)]
+
+    def meet(a, b, band):
+        return sum(abs(x - y) for x, y in zip(counts(a, band), counts(b, band))) <= band.radius
+
+    for number in (0, 1, 4, 6, 11):
+        seen = [b for b in bands[:number] if b.word < 2]
+        got = simhash._met_before(number << 56 | 5, bands, carried, i, j)
+        assert got.tolist() == [any(meet(rows[a], rows[b], band) for band in seen) for a, b in zip(i, j)]
+
+
 def brute_lines(texts, least):
     docs = sorted(texts)
     split = [t.split("\n") if t else [] for _, t in docs]
