@@ -30,6 +30,11 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_score(scoring.impute_failed(views.raw_measurements(probes)))
 
 
+def stored_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The providers of every site, stored before a stream starts so that no micro-batch derives them anew."""
+    return session.materialize(provider_source.default_dimension(views.sites(spark, sf_dir)), "dimension")
+
+
 def decided_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.use_rocksdb(spark)
     return live_failover.select_stream(scored_stream(spark, sf_dir), PROVIDERS)
@@ -45,7 +50,7 @@ def str_01(spark, sf_dir):
     """Captured report files arrive, are measured and appended."""
     base = session.scratch_dir(spark, "ingest")
     reports.captured(spark, sf_dir).write.option("timestampNTZFormat", report_source.TS_FORMAT).json(f"{base}/in")
-    dimension = provider_source.default_dimension(views.sites(spark, sf_dir))
+    dimension = stored_dimension(spark, sf_dir)
     measured = jobs.measure_stream(report_source.stream_reports(spark, f"{base}/in"), dimension).select(
         "site_id", "provider", "cycle", "ts", "failed", *P.METRICS, "score"
     )
@@ -81,8 +86,9 @@ def str_05(spark, sf_dir):
 def str_07_stream(spark, sf_dir):
     """Rule updates written as the changes happen."""
     base = session.scratch_dir(spark, "live-actions")
-    dimension = provider_source.default_dimension(views.sites(spark, sf_dir))
-    handle = jobs.action_batches(dimension, selection.rule_table(spark, sf_dir), f"{base}/out")
+    dimension = stored_dimension(spark, sf_dir)
+    rules = session.materialize(selection.rule_table(spark, sf_dir), "rules")
+    handle = jobs.action_batches(dimension, rules, f"{base}/out")
     jobs.start(decided_stream(spark, sf_dir), f"{base}/checkpoint", handle, once=True).awaitTermination()
     return tables.read_actions(spark, f"{base}/out").drop("batch_id")
 

@@ -100,13 +100,14 @@ class SelectionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self._load()
-        entries = {cycle: [ts, list(figures)] for (cycle,), (ts, figures) in list(self.waiting.iterator())}
+        stored = self._stored()
+        entries = {cycle: [ts, list(figures)] for cycle, (ts, figures) in stored.items()}
         # Complete cycles are taken after every Arrow batch, so rows that arrive
         # roughly in order never pile up.
         for pdf in rows:
             self._merge(pdf, entries, state["next_cycle"])
             yield self._frame(self._drain(key[0], entries, state))
-        self._keep(entries, state["next_cycle"])
+        self._keep(entries, stored, state["next_cycle"])
         self._save(state)
 
     def _merge(self, pdf: pd.DataFrame, entries: dict[int, list], next_cycle: int) -> None:
@@ -130,7 +131,8 @@ class SelectionProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        entries = {cycle: [ts, list(figures)] for (cycle,), (ts, figures) in list(self.waiting.iterator())}
+        stored = self._stored()
+        entries = {cycle: [ts, list(figures)] for cycle, (ts, figures) in stored.items()}
         overdue = [c for c, (ts, _) in entries.items() if ts // 1000 + self.grace_ms <= due]
         state = self._load()
         out = []
@@ -140,10 +142,13 @@ class SelectionProcessor(StatefulProcessor):
                 out.append(self._take(key[0], cycle, entries.pop(cycle), state))
                 state["next_cycle"] = cycle + 1
             out += self._drain(key[0], entries, state)
-        self._keep(entries, state["next_cycle"])
+        self._keep(entries, stored, state["next_cycle"], due)
         self._save(state)
         yield self._frame(out)
 
+    def _stored(self) -> dict[int, tuple]:
+        return {cycle: (ts, list(figures)) for (cycle,), (ts, figures) in list(self.waiting.iterator())}
+
     def _load(self) -> dict:
         if self.selection.exists():
             current, candidate, count, before_last, next_cycle, history = self.selection.get()
@@ -161,13 +166,24 @@ class SelectionProcessor(StatefulProcessor):
     def _save(self, s: dict) -> None:
         self.selection.update((*s["state"], s["before_last"], s["next_cycle"], s["history"]))
 
-    def _keep(self, entries: dict[int, list], next_cycle: int) -> None:
-        """Store the cycles still waiting, each with a timer."""
-        self.waiting.clear()
-        for cycle, (ts, figures) in entries.items():
-            if cycle >= next_cycle:
-                self.waiting.updateValue((cycle,), (ts, figures))
-                self.handle.registerTimer(ts // 1000 + self.grace_ms)
+    def _keep(self, entries: dict[int, list], stored: dict[int, tuple], next_cycle: int, due: int = -1) -> None:
+        """Write the waiting cycles that changed and keep one timer for each time one of them is due.
+
+        Timers up to ``due`` are firing and go by themselves.
+        """
+        left = {cycle: (ts, figures) for cycle, (ts, figures) in entries.items() if cycle >= next_cycle}
+        for cycle in stored.keys() - left.keys():
+            self.waiting.removeKey((cycle,))
+        for cycle, entry in left.items():
+            if stored.get(cycle) != entry:
+                self.waiting.updateValue((cycle,), entry)
+        had = {ts // 1000 + self.grace_ms for ts, _ in stored.values()}
+        wanted = {ts // 1000 + self.grace_ms for ts, _ in left.values()}
+        for at in wanted - had:
+            self.handle.registerTimer(at)
+        for at in had - wanted:
+            if at > due:
+                self.handle.deleteTimer(at)
 
     def _take(self, site_id: int, cycle: int, entry: list, s: dict) -> dict:
         """Smooth and decide one cycle; history holds the last scores, oldest first."""
