@@ -108,6 +108,49 @@ def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...], text: str
     return rows.mapInPandas(run, f"{kinds}, words array<bigint>, content binary")
 
 
+def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Further hashes of the same shingles (the finalizer of SplitMix64); SEED gives them as they are."""
+    if seed == SEED:
+        return hashes
+    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    parts = [h[:, 0] for h in shingle_hashes(words_of(data), width, (SEED,))]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_fingerprint(shingles: np.ndarray, seeds: tuple[int, ...]) -> list[int]:
+    """SimHash of a set of shingle hashes, one 64-bit word per seed: how often a text repeats a shingle does not count."""
+    ones = np.zeros((8 * len(seeds), 256), np.int64)
+    shift = 256 * np.arange(8 * len(seeds))
+    for i in range(0, len(shingles), STEP):
+        hashes = np.stack([mixed(shingles[i : i + STEP], s) for s in seeds], 1)
+        as_bytes = hashes.view(np.uint8).reshape(len(hashes), -1)
+        ones += np.bincount((as_bytes + shift).ravel(), minlength=ones.size).reshape(ones.shape)
+    bits = (ones @ _BITS).ravel() * 2 > len(shingles)
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def set_prints(docs: DataFrame, width: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """(keep..., words array<long>, content binary) as ``fingerprints``, but of the distinct shingles of every row."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            data = [bytes(t) if t is not None else b"" for t in frame.pop("_text")]
+            frame["words"] = [set_fingerprint(shingle_set(t, width), WIDE_SEEDS) for t in data]
+            frame["content"] = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in data]
+            yield frame
+
+    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+    return rows.mapInPandas(run, f"{kinds}, words array<bigint>, content binary")
+
+
 def popcounts(word: Column) -> Column:
     """The popcounts of the 32 two-bit segments of a word, each in the two bits of its segment."""
     low = word.bitwiseAND(F.lit(_EVEN))
@@ -360,7 +403,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
 
     Rows link if the sets of their ``width``-word shingles have a Jaccard
     similarity of ``similarity`` or more. Candidates come from the segment
-    popcounts of a 256-bit SimHash (cells at Manhattan distance 1 or less in
+    popcounts of a 256-bit SimHash of the same sets (cells at Manhattan distance 1 or less in
     one of twelve bands, then 18 bits or fewer in its first word and 31 in its
     first two, which a pair at 0.8 exceeds once in some hundred), and each link
     is verified on the shingles. First every row is verified against its nearest
@@ -369,7 +412,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str
     Rows equal in key and text are one; a null key counts as largest.
     """
     keyed = docs.withColumn("_tk", text_key(text))
-    rows = materialize(fingerprints(keyed, width, WIDE_SEEDS, text, (key, "_tk")), "prints")
+    rows = materialize(set_prints(keyed, width, text, (key, "_tk")), "prints")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_tk").alias("tk"))).alias("first")
     nodes = rows.groupBy("content").agg(first, F.min("words").alias("words"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -422,10 +465,7 @@ def _shingle_sets(keyed: DataFrame, wanted: DataFrame, width: int, key: str, tex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = []
-            for t in frame["_text"]:
-                parts = [h[:, 0] for h in shingle_hashes(words_of(bytes(t)), width, (SEED,))]
-                made.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+            made = [shingle_set(bytes(t), width).tobytes() for t in frame["_text"]]
             yield pd.DataFrame({"node": frame["node"], "shingles": made})
 
     names = wanted.select("node", F.col(key).alias("_k"), F.col("_tk").alias("_t"))

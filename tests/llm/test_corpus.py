@@ -97,6 +97,16 @@ def test_one_of_each_near_group_stays(spark):
     assert kept == [0, *range(1 + len(near), 1 + len(near) + len(far)), 50]
 
 
+def test_repeats_within_a_text_do_not_hide_a_copy(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(20):
+        body, phrase = words(rng, 180), words(rng, 14)
+        # Both texts have the same shingles; in one the phrase is repeated more often.
+        texts += [(2 * i, f"{body} {phrase} {phrase}"), (2 * i + 1, " ".join([body] + [phrase] * 32))]
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()) == list(range(0, 40, 2))
+
+
 def test_pairs_met_in_an_earlier_band_are_told():
     rng = random.Random(12)
     bands = simhash.WIDE_BANDS
