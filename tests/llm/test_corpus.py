@@ -107,6 +107,21 @@ def test_repeats_within_a_text_do_not_hide_a_copy(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()) == list(range(0, 40, 2))
 
 
+def test_near_pairs_at_the_threshold_are_those_of_all_pairs(spark):
+    rng = random.Random(31)
+    texts = []
+    for i in range(300):
+        # 160 of 200 shingles are shared, and up to 169 of 191 in later pairs.
+        run = words(rng, 204 - i // 30).split()
+        texts += [(2 * i, " ".join(run[:184])), (2 * i + 1, " ".join(run[len(run) - 184 :]))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    pairs = [(a, b) for a in range(600) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = joined(pairs, 600)
+    want = {x for x in range(600) if group[x] == x}
+    got = {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()}
+    assert len(pairs) == 300 and want <= got and len(got - want) <= 1
+
+
 def test_pairs_met_in_an_earlier_band_are_told():
     rng = random.Random(12)
     bands = simhash.WIDE_BANDS
