@@ -178,17 +178,30 @@ def _date(value: str, key: bytes, tweak: bytes) -> str | None:
     return f"{made.day:02d}{marks[0]}{made.month:02d}{marks[1]}{made.year}"
 
 
+def _checked_inside(text: str, phone: re.Match, key: bytes) -> bool:
+    """Whether a valid card or IBAN starts inside what looks like a phone number."""
+    pos = phone.start() + 1
+    while (m := PATTERN.search(text, pos)) is not None and m.start() < phone.end():
+        if m.lastgroup in ("card", "iban") and pseudonym(m.lastgroup, m.group(m.lastgroup), key) is not None:
+            return True
+        pos = m.start() + 1
+    return False
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced in the old text."""
     if not _HINT.search(text):
         return text, []
-    out, spans, at, pos = [], [], 0, 0
+    out, spans, at, pos, barred = [], [], 0, 0, 0
     while (m := PATTERN.search(text, pos)) is not None:
         kind = m.lastgroup
         made = pseudonym(kind, m.group(kind), key)
+        if kind == "phone" and made is not None and (m.start() < barred or _checked_inside(text, m, key)):
+            made = None
         if made is None:
             # Not valid as this kind: another may start inside it, but part of a long number is no phone.
-            pos = m.end() if kind == "card" else m.start() + 1
+            barred = max(barred, m.end()) if kind == "card" else barred
+            pos = m.start() + 1
             continue
         out += [text[at : m.start(kind)], made]
         spans.append((kind, m.start(kind), m.end(kind)))

@@ -36,6 +36,14 @@ def test_what_fails_its_check_stays(bad):
     assert pii.replace(bad, KEY) == (bad, [])
 
 
+@pytest.mark.parametrize("before", ["order 1234 ", "2024 ", "1234-5678 ", "paid 12/27 0000 ", "no. 123 "])
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"])
+def test_cards_after_other_digits_are_found(before, card):
+    new, spans = pii.replace(f"{before}{card} paid", KEY)
+    assert spans == [("card", len(before), len(before) + len(card))]
+    assert new.startswith(before) and new.endswith(" paid") and card not in new
+
+
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, None, "x", "y"), (None, "", None, None), (2, "a@b.co", "x", "y"), (2, "a@b.co", "x", "y")]
     out = pii.pseudonymise(spark.createDataFrame(rows, TEXTS), "key")
