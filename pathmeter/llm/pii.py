@@ -32,6 +32,16 @@ PATTERN = re.compile(
     re.ASCII,
 )
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _HINT = re.compile(r"[0-9@]")
 
 
@@ -178,11 +188,35 @@ def _date(value: str, key: bytes, tweak: bytes) -> str | None:
     return f"{made.day:02d}{marks[0]}{made.month:02d}{marks[1]}{made.year}"
 
 
+def _iban(value: str, key: bytes) -> tuple[str | None, int]:
+    """The pseudonym of an IBAN with which ``value`` begins, and where that ends.
+
+    Words behind it may look like its groups, so every beginning that ends
+    before a space is tried: first that of the country's length, then the longest.
+    """
+    ends = [i for i, c in enumerate(value) if c == " "] + [len(value)]
+    length = IBAN_LENGTHS.get(value[:2])
+    for end in sorted(ends, key=lambda i: (len(value[:i].replace(" ", "")) != length, -i)):
+        made = pseudonym("iban", value[:end], key)
+        if made is not None:
+            return made, end
+    return None, len(value)
+
+
+def _pseudonym_at(m: re.Match, key: bytes) -> tuple[str | None, int]:
+    """The pseudonym of a match, None if it is not valid, and the end of its value in the text."""
+    kind = m.lastgroup
+    if kind == "iban":
+        made, end = _iban(m.group(kind), key)
+        return made, m.start(kind) + end
+    return pseudonym(kind, m.group(kind), key), m.end(kind)
+
+
 def _checked_inside(text: str, phone: re.Match, key: bytes) -> bool:
     """Whether a valid card or IBAN starts inside what looks like a phone number."""
     pos = phone.start() + 1
     while (m := PATTERN.search(text, pos)) is not None and m.start() < phone.end():
-        if m.lastgroup in ("card", "iban") and pseudonym(m.lastgroup, m.group(m.lastgroup), key) is not None:
+        if m.lastgroup in ("card", "iban") and _pseudonym_at(m, key)[0] is not None:
             return True
         pos = m.start() + 1
     return False
@@ -195,7 +229,7 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     out, spans, at, pos, barred = [], [], 0, 0, 0
     while (m := PATTERN.search(text, pos)) is not None:
         kind = m.lastgroup
-        made = pseudonym(kind, m.group(kind), key)
+        made, end = _pseudonym_at(m, key)
         if kind == "phone" and made is not None and (m.start() < barred or _checked_inside(text, m, key)):
             made = None
         if made is None:
@@ -204,8 +238,8 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
             pos = m.start() + 1
             continue
         out += [text[at : m.start(kind)], made]
-        spans.append((kind, m.start(kind), m.end(kind)))
-        at = pos = m.end(kind)
+        spans.append((kind, m.start(kind), end))
+        at = pos = end
     out.append(text[at:])
     return "".join(out), spans
 

@@ -44,6 +44,16 @@ def test_cards_after_other_digits_are_found(before, card):
     assert new.startswith(before) and new.endswith(" paid") and card not in new
 
 
+@pytest.mark.parametrize("after", ["", " BIC", " EUR", " 2024", " 2024-05-01", " NR 12", " BIC BANK 2024 X"])
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_before_other_words_are_found(iban, after):
+    new, spans = pii.replace(f"from {iban}{after}", KEY)
+    assert spans[0] == ("iban", 5, 5 + len(iban)) and [k for k, *_ in spans[1:]] == ["date"] * (after == " 2024-05-01")
+    made = new[5 : 5 + len(iban)].replace(" ", "")
+    assert iban not in new and pii.iban_check(made[:2], made[4:]) == made[2:4]
+    assert after == " 2024-05-01" or new.endswith(after)
+
+
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, None, "x", "y"), (None, "", None, None), (2, "a@b.co", "x", "y"), (2, "a@b.co", "x", "y")]
     out = pii.pseudonymise(spark.createDataFrame(rows, TEXTS), "key")
