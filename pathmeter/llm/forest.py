@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pathmeter.llm.common import components
 from pathmeter.llm.vectors import finite, matrix
 from pathmeter.session import materialize
 
+#: Trees up to a depth of two levels, and further trees per level beyond, as every level parts some near rows.
 TREES = 6
+TREES_PER_LEVEL = 0.8
 #: Rows wanted in a leaf.
 LEAF_ROWS = 512
 #: About this many vectors at most fix the split points of the trees; every vector is then indexed.
@@ -36,16 +39,19 @@ class Tree:
     splits: np.ndarray
 
 
-def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF_ROWS, seed: int = 4) -> list[Tree]:
+def grow(sample: np.ndarray, rows: int, trees: int | None = None, leaf: int = LEAF_ROWS, seed: int = 4) -> list[Tree]:
     """Random splits of the unit vectors ``sample`` so deep that ``rows`` rows leave about ``leaf`` in a leaf.
 
     A node is split near its median, between the 35 and 65 percent quantiles,
-    where the fewest sampled rows lie within the spill margin.
+    where the fewest sampled rows lie within the spill margin. Without ``trees``
+    their number follows the depth.
     """
     rng = np.random.default_rng(seed)
     depth = 0
     while rows / 2 ** (depth + 1) >= leaf / 2 and len(sample) / 2 ** (depth + 1) >= LEAF_SAMPLE:
         depth += 1
+    if trees is None:
+        trees = TREES + ceil(TREES_PER_LEVEL * max(0, depth - 2))
     dims = sample.shape[1]
     margin = SPILL / np.sqrt(dims)
     forest = []
@@ -152,7 +158,7 @@ def _membership(leaf_ids: pd.Series, place: dict[int, int]) -> np.ndarray:
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding",
-    trees: int = TREES, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,
+    trees: int | None = None, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """One row per input row: (key, n_links, component_id, kept).
 

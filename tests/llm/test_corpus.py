@@ -192,6 +192,25 @@ def test_forest_links_are_those_of_all_pairs(spark):
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_deep_trees_find_the_pairs_of_a_hot_group():
+    rng = np.random.default_rng(5)
+    centre = np.eye(64)[3]
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def hot(n):
+        return unit(centre + 0.3145 / 8 * rng.standard_normal((n, 64)))
+
+    trees = forest.grow(np.concatenate([hot(7_000), unit(rng.standard_normal((14_000, 64)))]), 200_000)
+    a, b = hot(6_000), hot(6_000)
+    near = (a * b).sum(axis=1) >= 0.9
+    (i, x), (j, y) = forest.leaves(trees, a[near]), forest.leaves(trees, b[near])
+    met = set(zip(i.tolist(), x.tolist())) & set(zip(j.tolist(), y.tolist()))
+    assert len(trees[0].directions) == 9 and near.sum() > 3_000
+    assert len({r for r, _ in met}) >= 0.99 * near.sum()
+
+
 @pytest.mark.parametrize("scale", ["unit", "mixed", "negative"])
 def test_top_products_are_exact(spark, scale):
     rng = np.random.default_rng(5)
