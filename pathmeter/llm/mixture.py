@@ -14,8 +14,8 @@ ROUNDS = 12
 TOLERANCE = 1e-3
 #: Targets follow the tokens of a value to this power, which lifts small sources.
 TEMPER = 0.7
-#: Share of all tokens that the sample should hold.
-KEEP = 0.7
+#: Relative error of the expected marginals that the largest sample may have.
+OFF = 0.01
 DIMENSIONS = ("source", "lang", "topic")
 
 #: A topic is the first of these whose pattern a text holds, else prose.
@@ -85,36 +85,50 @@ def _scaled(state: DataFrame, d: str, factors: DataFrame) -> DataFrame:
 
 
 def scale_for(ratio: DataFrame, keep: float | None) -> float:
-    """The factor c for which min(1, c * ratio) keeps the share ``keep`` of the tokens; None: no row is certain but the top cell's.
+    """The factor c for which min(1, c * ratio) keeps the share ``keep`` of the tokens; None: the largest that holds the marginals.
 
-    Two aggregations over a grid of factors find it to a part in a thousand.
+    Aggregations over two grids of factors find it to a part in a thousand or so.
     """
     low, high = ratio.where("_ratio > 0").agg(F.min("_ratio"), F.max("_ratio")).first()
     if high is None:
         return 1.0
-    if keep is None:
-        return 1.0 / high
-    lo, hi = 1.0 / high / 64, 1.0 / low
+    lo, hi = 1.0 / high / (64 if keep is not None else 1), 1.0 / low
     for _ in range(2):
         steps = [lo * (hi / lo) ** (i / 64) for i in range(65)]
-        held = [F.sum(F.least(F.lit(1.0), F.col("_ratio") * c) * F.col("tokens")) for c in steps]
-        row = ratio.agg(F.sum("tokens"), *[h.alias(f"h{i}") for i, h in enumerate(held)]).first()
-        k = next((i for i in range(65) if row[i + 1] >= keep * row[0]), 64)
-        lo, hi = steps[max(0, k - 1)], steps[k]
-    return hi
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float | None = KEEP, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+        held = [F.sum(F.least(F.lit(1.0), F.col("_ratio") * c) * F.col("tokens")).alias(f"h{i}") for i, c in enumerate(steps)]
+        if keep is None:
+            worst = _worst_errors(ratio, held)
+            k = next((i for i in range(65) if worst[i] > OFF), 65)
+            lo, hi = steps[max(0, k - 1)], steps[min(64, k)]
+        else:
+            row = ratio.agg(F.sum("tokens"), *held).first()
+            k = next((i for i in range(65) if row[i + 1] >= keep * row[0]), 64)
+            lo, hi = steps[max(0, k - 1)], steps[k]
+    return lo if keep is None else hi
+
+
+def _worst_errors(ratio: DataFrame, held: list[Column]) -> list[float]:
+    """For each sum of held tokens the largest relative error of a marginal against that of the weights."""
+    whole = ratio.agg(F.sum("weight"), *held).first()
+    worst = [0.0] * len(held)
+    for d in DIMENSIONS:
+        sums = ratio.where("weight > 0").groupBy(d).agg(F.sum("weight").alias("_w"), *held)
+        errors = [F.max(F.abs(F.col(f"h{i}") / F.lit(float(whole[i + 1])) / (F.col("_w") / F.lit(float(whole[0]))) - 1)) for i in range(len(held))]
+        worst = [max(a, b or 0.0) for a, b in zip(worst, sums.agg(*errors).first())]
+    return worst
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float | None = None, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """Sample rows so that the expected tokens of the sample have the target marginals.
 
     Cells are the combinations of source, language and topic. Raking gives each
     the weight it should have; weight over tokens, times one factor, is the
     probability of its rows, and a row stays if a uniform hash of key and text
-    lies below it. The factor makes the sample hold the share ``keep`` of the
-    tokens; a probability above one means all rows of a scarce cell, which then
-    falls short of its target. With ``keep`` None the factor is the largest that
-    needs no such cut, and the expected marginals are the targets. Without
-    ``targets`` each dimension aims at its tokens to the power 0.7. Returns the kept rows with ``tokens``,
+    lies below it. A probability above one means all rows of a scarce cell, which
+    then falls short. With ``keep`` None the factor is the largest at which the
+    expected share of no value is off that of the raked weights by more than OFF
+    of it. With a number the sample holds the share ``keep`` of the tokens, and
+    scarce values may fall far short of their targets. Without ``targets`` each dimension aims at its tokens to the power 0.7. Returns the kept rows with ``tokens``,
     ``topic`` and ``probability`` (columns of these names are replaced). A null
     source or language is a value of its own. Cells without tokens (null and
     empty texts) change no marginal and stay. Rows equal in key and text stay

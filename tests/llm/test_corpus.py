@@ -269,6 +269,21 @@ def test_mixture_keeps_its_share(spark):
     assert mixture.mix(df.limit(0)).count() == 0
 
 
+def test_expected_sample_has_the_target_marginals(spark):
+    rng = random.Random(14)
+    df = frame(spark, [(i, words(rng, 30) + (" a@b.org" if i % 41 == 0 else "")) for i in range(3000)])
+    base = df.select("source", "lang", mixture.topic().alias("topic"), mixture.tokens().alias("tokens")).collect()
+    p = {(r.source, r.lang, r.topic): r.probability for r in mixture.mix(df).collect()}
+    for d in mixture.DIMENSIONS:
+        tokens, held = Counter(), Counter()
+        for r in base:
+            tokens[r[d]] += r.tokens
+            held[r[d]] += r.tokens * p[r.source, r.lang, r.topic]
+        goal = {v: n**mixture.TEMPER for v, n in tokens.items()}
+        for v, g in goal.items():
+            assert held[v] / sum(held.values()) == pytest.approx(g / sum(goal.values()), rel=0.02), (d, v)
+
+
 def test_pipeline_runs_and_stages_keep_the_columns(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
