@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over the driver tables."""
+"""The registered queries of the operators over the driver tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmeter.llm import bpe, forest, lines, mixture, pii, search, secret_scan, shards, simhash, toxicity
+from pathmeter.llm import alignment, audit, bpe, forest, lines, mixture, page_text, pii, search, secret_scan, shards, simhash, toxicity
 from pathmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,27 @@ ORACLE_SQL["op9_top_products"] = """
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, by language."""
+    counts = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.interactions(counts)
+
+
+ORACLE_SQL["op12_filter_audit"] = audit.ORACLE_SQL
+
+
+@query
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document."""
+    return alignment.audit(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
