@@ -111,37 +111,36 @@ def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "t
             ids = [encode(enc, t) for t in texts]
             yield pd.DataFrame({"ids": ids, "same": [enc.decode_bytes(x) == t.encode() for x, t in zip(ids, texts)]})
 
-    made = docs.withColumn("_bpe", checked(F.col(text)))
-    return made.withColumns({
-        "token_ids": F.col("_bpe.ids"), "n_tokens": F.size("_bpe.ids").cast("long"), "round_trip": F.col("_bpe.same"),
-    }).drop("_bpe")
+    new = ("token_ids", "n_tokens", "round_trip")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), checked(F.col(text)).alias("made"))
+    return packed.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in new],
+        F.col("made.ids").alias("token_ids"), F.size("made.ids").cast("long").alias("n_tokens"), F.col("made.same").alias("round_trip"),
+    )
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode and digest every text in one pass: (key, n_tokens, ids_sha256, decoded_sha256).
 
     Only the digests leave the Python worker, so ids are neither shuffled nor
-    written. A null text counts as empty; repeated rows give repeated results.
+    written, and only texts enter it, so keys stay as they are. A null text counts as empty; repeated rows give repeated results.
     """
     data = docs.sparkSession.sparkContext.broadcast(_read(rank_file))
-    kind = docs.select(key).schema[0].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoding(data.value, pattern)
         names = [str(i) for i in range(enc.n_vocab)]
-        for frame in frames:
+        for part in parts:
             out = []
-            for t in frame["t"]:
+            for t in part:
                 ids = encode(enc, t or "")
                 joined = ",".join([names[i] for i in ids])
                 out.append((len(ids), _hex(joined.encode()), _hex(enc.decode_bytes(ids))))
-            result = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
-            result.insert(0, "k", frame["k"].array)
-            yield result
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=part.index)
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    made = rows.mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return made.withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias(key), digests(F.col(text)).alias("made")).select(key, "made.*")
 
 
 def _hex(data: bytes) -> str:

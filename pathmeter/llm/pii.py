@@ -267,7 +267,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
             yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
-    columns = [c for c in docs.columns if c not in (text, "pii_spans", "_pii")]
-    done = docs.select(*[F.col(f"`{c}`") for c in columns], made(F.col(text)).alias("_pii"))
-    order = [F.col(f"`{c}`") if c != text else F.col("_pii.text").alias(text) for c in docs.columns if c not in ("pii_spans", "_pii")]
-    return done.select(*order, F.col("_pii.spans").alias("pii_spans"))
+    columns = [c for c in docs.columns if c != "pii_spans"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), made(F.col(text)).alias("made"))
+    order = [(F.col("made.text") if c == text else F.col("row")[c]).alias(c) for c in columns]
+    return packed.select(*order, F.col("made.spans").alias("pii_spans"))

@@ -16,28 +16,45 @@ from pathmeter.session import materialize
 BUCKETS = 16
 #: Candidate rows of a bucket that one task compares, and queries it compares them with.
 PART_ROWS = 16_384
-PART_QUERIES = 2_048
+PART_QUERIES = 8_192
 #: Longest candidates that give each query a first score to beat.
 SEED_ROWS = 1_024
 #: Coordinates of a query tried by coordinate pruning.
 FOCUS = 4
 #: Below this local threshold coordinates prune too little, and the length alone is used.
 COORDINATE_FROM = 0.35
-#: Components beyond this, once scaled, are set to it; scores then fit a long for up to 2^20 dimensions.
-LIMIT = 1 << 20
+_LONG = 2.0**63
 
 
 def scaled(embedding: str, factor: int) -> F.Column:
-    """floor(factor * x) of every component as long, x as double."""
-    return F.transform(F.col(embedding), lambda x: F.least(F.greatest(F.floor(x.cast("double") * factor), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long"))
+    """floor(factor * x) of every component as long, x as double; what no long holds is an error."""
+    def one(x: F.Column) -> F.Column:
+        y = x.cast("double") * factor
+        return F.when(F.abs(y) < _LONG, F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")))
+
+    return F.transform(F.col(embedding), one)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by doubles where all partial sums stay below 2^53."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    """Exact integer inner products of long vectors.
+
+    Doubles serve where all partial sums stay below 2^53. Else longs that wrap
+    around, which are exact where the product itself fits a long; whether it
+    does is told by doubles and, near the border, by Python integers. A product
+    that fits no long raises OverflowError.
+    """
+    most = [float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (q, c)]
+    bound = most[0] * most[1] * max(1, q.shape[1])
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    out = q @ c.T
+    if bound >= _LONG:
+        about = np.abs(q.astype(np.float64) @ c.astype(np.float64).T)
+        for i, j in zip(*np.nonzero(about + bound * 2.0**-50 * max(1, q.shape[1]) >= _LONG)):
+            exact = sum(x * y for x, y in zip(q[i].tolist(), c[j].tolist()))
+            if not -(2**63) <= exact < 2**63:
+                raise OverflowError("an inner product does not fit a long")
+    return out
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -118,8 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: int = 256,
     """The k rows of ``vectors`` with the highest inner products for each row of ``queries``.
 
     Returns (query_id, rank, vec_id, score), rank from 1; scores are integer
-    products of floor(factor * x), ties go to the smaller id, a query's own key
-    is no candidate. All rows, if fewer than k. Rows without a key and vectors
+    products of floor(factor * x), of any size a long holds (a product beyond is
+    an error); ties go to the smaller id, a query's own key is no candidate. All rows, if fewer than k. Rows without a key and vectors
     that are null or hold null or non-finite components take no part; shorter
     vectors count as ending in zeros. Repeated rows count each as candidates and
     once as queries; a query key with several vectors gets the best over them.
@@ -163,14 +180,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: int = 256,
     asked = materialize(asked, "floors")
     tops = {r["bucket"]: r["top"] for r in cands.groupBy("bucket").agg(F.max("length").alias("top")).collect()}
     # A query goes to the buckets whose longest row could reach its floor.
-    blocks = [(b["bucket"], p, float(tops[b["bucket"]])) for b in counts for p in range(-(-b["n"] // part_rows))]
-    listed = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).alias("part"), F.lit(t).alias("top")) for b, p, t in blocks]) if blocks else None
-    if listed is None or not n_queries:
+    if not counts or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    each = [(b["bucket"], -(-b["n"] // part_rows), float(tops[b["bucket"]])) for b in counts]
+    listed = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(n).alias("parts"), F.lit(t).alias("top")) for b, n, t in each])
     q_length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
     sent = asked.withColumn("ql", q_length).select("id", "x", "chunk", "floor", "ql", F.explode(listed).alias("b")).select("id", "x", "chunk", "floor", "ql", "b.*")
-    sent = sent.where((F.col("floor") <= 0) | (F.col("ql") * F.col("top") * (1 + 1e-9) >= F.col("floor"))).select("bucket", "part", "chunk", "id", "x", "floor")
-    spread = cands.select("bucket", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("chunk"), "id", "x")
+    sent = sent.where((F.col("floor") <= 0) | (F.col("ql") * F.col("top") * (1 + 1e-9) >= F.col("floor")))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "part", "chunk", "id", "x", "floor")
+    # Candidates are copied for the chunks of which a query reaches their part, no others.
+    reached = materialize(sent.select("bucket", "part", "chunk").distinct(), "reached")
+    spread = cands.select("bucket", "part", "id", "x").join(reached, ["bucket", "part"]).select("bucket", "part", "chunk", "id", "x")
     by = ["bucket", "part", "chunk"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,7 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", least=39),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -181,15 +181,14 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     null or empty text has no spans; repeated rows give repeated results; spans
     are ordered by start, then by the order of the rules.
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("kinds array<string>, starts array<int>, ends array<int>, ords array<int>")
+    def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         plans = [(compiled(r), tuple(frozenset(map(_code, c)) for c in trigram_query(r.pattern))) for r in rules]
         grams = sorted({g for _, query in plans for c in query for g in c})
         wanted = np.zeros(1 << 24, bool)
         wanted[grams] = True
-        for frame in frames:
-            texts = [t or "" for t in frame["t"]]
+        for texts_of in parts:
+            texts = [t or "" for t in texts_of]
             spans: list[list[tuple]] = [[] for _ in texts]
             for part in _parts(texts):
                 segment = Segment([texts[i] for i in part], wanted, grams)
@@ -199,12 +198,17 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
                         for m in pattern.finditer(texts[i]):
                             if m.end(rule.group) - m.start(rule.group) >= rule.least:
                                 spans[i].append((m.start(), order, rule.kind, m.end()))
-            made = [[{"kind": k, "start": s, "end": e, "ord": o} for s, o, k, e in sorted(x)] for x in spans]
-            yield pd.DataFrame({"k": frame["k"].array, "spans": made})
-
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    made = rows.mapInPandas(run, f"k {kind}, spans array<struct<kind:string,start:int,end:int,ord:int>>")
-    return made.withColumnRenamed("k", key)
+            made = [list(zip(*sorted(x))) or [()] * 4 for x in spans]
+            yield pd.DataFrame({
+                "kinds": [list(x[2]) for x in made], "starts": [list(x[0]) for x in made],
+                "ends": [list(x[3]) for x in made], "ords": [list(x[1]) for x in made],
+            }, index=texts_of.index)
+
+    # Only texts go through Python, so keys of any type and size stay as they are.
+    made = docs.select(F.col(key).alias("key"), scan(F.col(text)).alias("m")).select("key", "m.*")
+    zipped = F.arrays_zip("kinds", "starts", "ends", "ords")
+    spans = F.transform(zipped, lambda x: F.struct(x["kinds"].alias("kind"), x["starts"].alias("start"), x["ends"].alias("end"), x["ords"].alias("ord")))
+    return made.select(F.col("key").alias(key), spans.alias("spans"))
 
 
 def _parts(texts: list[str], most: int = 8 << 20) -> Iterator[list[int]]:

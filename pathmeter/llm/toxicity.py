@@ -21,7 +21,6 @@ FIT_ROWS = 12_000
 MIN_TOXIC_ROWS = 5
 #: ... and its smoothed log-odds are at least this.
 MIN_LOG_ODDS = 2.5
-MAX_TERMS = 20_000
 #: Terms are whole words, or beginnings of words of these lengths.
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -42,9 +41,7 @@ _WIDE = {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): ch
 _HIDDEN = {chr(c): None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | _WIDE | _HIDDEN)
 _MARKS = {c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in SUBSTITUTES}
-ASCII_FOLD = str.maketrans(_LOWER | SUBSTITUTES | _MARKS)
 _SPACE = str.maketrans({c: " " for c in map(chr, range(0x2010, 0x2070)) if c not in _HIDDEN} | {"«": " ", "»": " ", "¿": " ", "¡": " ", " ": " "} | _MARKS)
-_ENDS = str.maketrans({c: " " for c in "!|"})
 
 
 def fold(text: str) -> str:
@@ -110,8 +107,14 @@ class Matcher:
                 shielded.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in shielded:
-            for start in [s for s in found if a <= s < b]:
+        # Both in order of their starts; ``reach`` is how far the phrases so far go.
+        shielded.sort()
+        at = reach = 0
+        for start in sorted(found) if shielded else ():
+            while at < len(shielded) and shielded[at][0] <= start:
+                reach = max(reach, shielded[at][1])
+                at += 1
+            if start < reach:
                 del found[start]
         return found
 
@@ -174,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
         sample.mapInPandas(counts, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= MIN_TOXIC_ROWS).withColumn("weight", odds).where(F.col("weight") >= MIN_LOG_ODDS)
-        .orderBy(F.desc("weight"), "term").limit(MAX_TERMS)
+        .orderBy(F.desc("weight"), "term")
     )
     terms = pruned({r["term"]: r["weight"] for r in best.collect()})
     if not terms:
@@ -211,9 +214,11 @@ def _harmless(sample: DataFrame, matcher: Matcher) -> tuple[str, ...]:
                 folded = fold(t or "")
                 found = set()
                 for start in matcher.hits(folded):
-                    before = folded[:start].rstrip().rpartition(" ")[2]
-                    word, _, after = folded[start:].partition(" ")
-                    after = after.partition(" ")[0]
+                    before = folded[folded.rfind(" ", 0, max(start - 1, 0)) + 1 : max(start - 1, 0)]
+                    end = folded.find(" ", start)
+                    end = len(folded) if end < 0 else end
+                    stop = folded.find(" ", end + 1)
+                    word, after = folded[start:end], folded[end + 1 : len(folded) if stop < 0 else stop]
                     found |= {f"{a} {b}" for a, b in ((before, word), (word, after)) if a and b}
                 made += [(p, int(label)) for p in found]
         yield pd.DataFrame({"phrase": pd.Series([p for p, _ in made], dtype=object), "label": np.array([y for _, y in made], np.int32)})
@@ -221,7 +226,7 @@ def _harmless(sample: DataFrame, matcher: Matcher) -> tuple[str, ...]:
     tally = sample.mapInPandas(pairs, "phrase string, label int").groupBy("phrase").agg(
         F.sum("label").alias("toxic"), F.count("*").alias("n")
     )
-    rows = tally.where("n - toxic >= 5 and toxic * 5 <= n - toxic").orderBy(F.desc("n"), "phrase").limit(1000)
+    rows = tally.where("n - toxic >= 5 and toxic * 5 <= n - toxic").orderBy(F.desc("n"), "phrase")
     return tuple(r["phrase"] for r in rows.collect())
 
 

@@ -301,3 +301,28 @@ def test_registered_sql_agrees(spark):
     sf = "/root/testdata/sf0.001"
     for name, sql in ORACLE_SQL.items():
         assert oracle.difference(QUERIES[name](spark, sf), oracle.connect(sf), sql) is None
+
+
+@pytest.mark.parametrize("high", [10**4, 10**6, 10**9, 5 * 10**7])
+def test_products_of_large_components(spark, high):
+    rng = random.Random(high)
+    vecs = [(i, [float(rng.randrange(-high, high)) for _ in range(2)]) for i in range(40)] + [(40, [0.0, 0.0]), (41, None), (42, [float("nan"), 1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    ints = {i: [int(256 * x) for x in v] for i, v in vecs if v and v[0] == v[0]}
+    want = []
+    for q in (x for x in ints if x % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:5]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)]
+    if max(abs(x[3]) for x in want) >= 2**63:
+        with pytest.raises(Exception, match="fit a long"):
+            search.top_k(df, df.where("vec_id % 10 = 0")).collect()
+        return
+    assert sorted(map(tuple, search.top_k(df, df.where("vec_id % 10 = 0")).collect())) == sorted(want)
+
+
+def test_products_wrap_around_only_inside():
+    big = 3 * 10**9
+    q, c = np.array([[big, big, 5]]), np.array([[big, -big, 7], [big, big, 1]])
+    with pytest.raises(OverflowError):
+        search.products(q, c)
+    assert search.products(q, c[:1]).tolist() == [[35]]
