@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pathmeter.llm.common import numbered, text_key
 from pathmeter.operators.ordered import prefix_scan
@@ -43,40 +45,45 @@ def _segments(active: DataFrame, least: int) -> DataFrame:
     """
     kind = active.schema["doc"].dataType["id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for frame in frames:
-            if carry is not None:
-                frame = pd.concat([carry, frame], ignore_index=True)
-            last = (frame["id"].iloc[-1], frame["tk"].iloc[-1])
-            same_id = frame["id"].isna() if pd.isna(last[0]) else frame["id"] == last[0]
-            tail = int((same_id & (frame["tk"] == last[1])).to_numpy()[::-1].argmin() or len(frame))
-            if tail < len(frame):
-                yield _depths(frame.iloc[: len(frame) - tail], least)
-            carry = frame.iloc[len(frame) - tail :]
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if carry is None else pa.concat_tables([carry, rows])
+            doc = _documents(rows)
+            done = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
+            if done:
+                yield from _depths(rows.slice(0, done), doc[:done], least).to_batches()
+            carry = rows.slice(done)
         if carry is not None and len(carry):
-            yield _depths(carry, least)
+            yield from _depths(carry, _documents(carry), least).to_batches()
 
     flat = active.select("doc.none", "doc.id", "doc.tk", "idx", "words", "r0")
     flat = flat.repartitionByRange("none", "id", "tk").sortWithinPartitions("none", "id", "tk", "idx")
-    made = flat.mapInPandas(run, f"none boolean, id {kind}, tk long, idx int, r0 long, ahead int, depths array<int>")
+    made = flat.mapInArrow(run, f"none boolean, id {kind}, tk long, idx int, r0 long, ahead int, depths array<int>")
     return numbered(made, ["none", "id", "tk", "idx"], "p", "positions", placed=True)
 
 
-def _depths(frame: pd.DataFrame, least: int) -> pd.DataFrame:
+def _documents(rows: pa.Table) -> np.ndarray:
+    """Running number of the document of each row; keys are compared as they are, nulls as equal."""
+    ids = rows["id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    tk = rows["tk"].to_numpy()
+    return np.cumsum(np.r_[0, (np.diff(ids) != 0) | (np.diff(tk) != 0)]) if len(rows) else np.zeros(0, np.int64)
+
+
+def _depths(rows: pa.Table, doc: np.ndarray, least: int) -> pa.Table:
     """Segments of whole documents by array arithmetic over running word counts."""
-    tk, idx = frame["tk"].to_numpy(), frame["idx"].to_numpy()
-    ids = pd.factorize(frame["id"], use_na_sentinel=False)[0]
-    new_doc = np.r_[True, (np.diff(ids) != 0) | (np.diff(tk) != 0)]
-    repeated = ~new_doc & np.r_[False, np.diff(idx) == 0]
-    frame, idx, new_doc = frame[~repeated], idx[~repeated], new_doc[~repeated]
+    idx = rows["idx"].to_numpy()
+    again = np.r_[False, (np.diff(doc) == 0) & (np.diff(idx) == 0)]
+    rows, idx, doc = rows.filter(pa.array(~again)), idx[~again], doc[~again]
+    new_doc = np.r_[True, np.diff(doc) != 0]
     n = len(idx)
     starts = new_doc | np.r_[True, np.diff(idx) != 1]
     first = np.flatnonzero(starts)
     lengths = np.diff(np.r_[first, n])
     begin = np.repeat(first, lengths)
     end = np.repeat(first + lengths - 1, lengths)
-    total = np.cumsum(frame["words"].to_numpy(np.int64))
+    total = np.cumsum(rows["words"].to_numpy().astype(np.int64))
     before = np.r_[0, total[:-1]]
     at = np.arange(n)
     # The shortest run that ends at a line, and the shortest that starts there.
@@ -87,14 +94,9 @@ def _depths(frame: pd.DataFrame, least: int) -> pd.DataFrame:
     pairs = np.unique(np.concatenate([
         np.stack([start[back], (at - start + 1)[back]], 1), np.stack([at[fore], (stop - at + 1)[fore]], 1),
     ]), axis=0)
-    cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-    depths = [pairs[a:b, 1].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
-    out = frame[["none", "id", "tk", "idx", "r0"]].copy()
-    if out["id"].dtype.kind not in "iuf":
-        out["id"] = out["id"].astype(object)
-    out["ahead"] = (end - at).astype(np.int32)
-    out["depths"] = depths
-    return out
+    cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32)
+    made = rows.select(["none", "id", "tk", "idx", "r0"]).append_column("ahead", pa.array((end - at).astype(np.int32)))
+    return made.append_column("depths", pa.ListArray.from_arrays(cuts, pa.array(pairs[:, 1].astype(np.int32))))
 
 
 def _double(level: DataFrame, size: int) -> DataFrame:
@@ -129,7 +131,7 @@ def suffix_array(positions: DataFrame, depth: int) -> tuple[DataFrame, DataFrame
     classes = members.groupBy("c").agg(F.min(F.struct("p", "ahead")).alias("m")).select("c", "m.*")
     one = classes.select("c", F.col("p").alias("pa"), F.col("ahead").alias("aa"))
     two = classes.select((F.col("c") + 1).alias("c"), F.col("p").alias("pb"), F.col("ahead").alias("ab"))
-    pairs = one.join(two, "c").withColumn("lcp", F.lit(0))
+    pairs = materialize(one.join(two, "c").withColumn("lcp", F.lit(0)), "lcp")
     # From long runs to short ones: where the runs agree, both sides move on by their length.
     for k in range(len(levels) - 1, -1, -1):
         a = levels[k].select((F.col("p")).alias("xa"), F.col("r").alias("ra"), F.col("ahead").alias("na"))
@@ -141,7 +143,9 @@ def suffix_array(positions: DataFrame, depth: int) -> tuple[DataFrame, DataFrame
         )
         more = F.least(F.lit(1 << k), F.col("na") + 1)
         pairs = pairs.select("c", "pa", "aa", "pb", "ab", F.when(F.col("ra") == F.col("rb"), F.col("lcp") + more).otherwise(F.col("lcp")).alias("lcp"))
-    return members, materialize(pairs.select("c", "lcp"), "lcp")
+        # Stored level by level, so that the joins of one level live at a time.
+        pairs = materialize(pairs, "lcp")
+    return members, pairs.select("c", "lcp")
 
 
 def repeated_positions(positions: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -187,14 +191,30 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
     members, classes = suffix_array(positions, longest)
     gone = repeated_positions(positions, members, classes)
     marks = positions.select("p", "id", "tk", "idx").join(gone, "p")
-    marks = materialize(marks.groupBy("id", "tk").agg(F.collect_set("idx").alias("_gone")).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "_gone"), "gone-lines")
+    marks = materialize(marks.groupBy(F.col("id").alias("k"), F.col("tk").alias("t")).agg(F.collect_set("idx").alias("gone")), "gone-lines")
     # Only a document's own line numbers are gathered; a key that is not in the list keeps its text.
-    hit = F.col(key).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_tk"))
-    joined = docs.join(marks.hint("shuffle_hash"), hit, "left")
-    rest = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    out = joined.withColumn("_new", new)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), text_key(text).alias("tk"))
+    joined = packed.join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("k")) & (F.col("tk") == F.col("t")), "left")
+    cut = F.col("gone").isNotNull()
+    # Texts without a mark do not leave the JVM.
+    joined = joined.withColumn("rest", _without(F.when(cut, F.col("row")[text]), F.col("gone")))
+    new = {text: F.when(cut, F.col("rest")).otherwise(F.col("row")[text])}
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        out = out.withColumn(length, F.when(F.col("_gone").isNull(), F.col(length)).otherwise(F.length("_new").cast(kind)))
-    return out.withColumn(text, F.col("_new")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.when(cut, F.length("rest").cast(kind)).otherwise(F.col("row")[length])
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text without the lines whose numbers are listed; null without a list."""
+    out = []
+    for text, lines in zip(texts, gone):
+        if text is None or lines is None:
+            out.append(None)
+            continue
+        parts = text.split("\n")
+        stay = np.ones(len(parts), bool)
+        stay[lines] = False
+        out.append("\n".join([parts[i] for i in np.flatnonzero(stay).tolist()]))
+    return pd.Series(out, index=texts.index, dtype=object)
