@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from pathmeter.llm.common import text_key
 from pathmeter.session import materialize
 
 SEED = 6
-#: Rounds of raking at most, and the relative error of every marginal at which it ends.
-ROUNDS = 12
+#: Relative error of every marginal at which raking ends, and rounds without a better one after which it is given up.
 TOLERANCE = 1e-3
+STALLED = 3
 #: Targets follow the tokens of a value to this power, which lifts small sources.
 TEMPER = 0.7
 #: Relative error of the expected marginals that the largest sample may have.
@@ -42,9 +44,8 @@ def topic(text: str = "text") -> Column:
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFrame:
     """(value, target) of a dimension: shares of the tokens raised to ``power``, summing to one."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("t"))
-    total = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("all"))
-    # A total is one row.
-    return sums.join(F.broadcast(total)).select("value", (F.pow("t", F.lit(power)) / F.col("all")).alias("target"))
+    total = sums.agg(F.sum(F.pow("t", F.lit(power)))).first()[0] or 1.0
+    return sums.select("value", (F.pow("t", F.lit(power)) / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -52,24 +53,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
     Starts from the cells' share of the tokens and scales to one dimension's
     targets after the other until all marginals agree. Values without a target
-    get weight zero, targets without a cell are left out; where targets
-    contradict each other, the last dimension holds. Cells are aggregates, one
+    get weight zero, targets without a cell are left out. Raking goes on until
+    every marginal is within TOLERANCE; targets that contradict each other never
+    are, which a warning says, and then the last dimension holds. Cells are aggregates, one
     row per combination of values; they stay distributed, and each scaling is
     written, which keeps plans short and cuts the lineage.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     state = materialize(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "raked")
     goals = {d: materialize(t.select(F.col("value").alias(f"_{d}"), "target").where("target > 0"), "targets") for d, t in targets.items()}
-    for _ in range(ROUNDS):
-        worst = 0.0
+    best, stalled = float("inf"), 0
+    while True:
+        errors = {}
         for d, goal in goals.items():
             factors = materialize(_factors(state, d, goal), "factors")
             off = F.abs(F.col("_sum") - F.col("_target")) / F.greatest("_target", F.lit(1e-12))
-            worst = max(worst, factors.agg(F.max(off)).first()[0] or 0.0)
+            errors[d] = factors.agg(F.max(off)).first()[0] or 0.0
             state = materialize(_scaled(state, d, factors), "raked")
-        if worst <= TOLERANCE:
-            break
-    return state
+        worst = max(errors, key=errors.get)
+        if errors[worst] <= TOLERANCE:
+            return state
+        stalled = 0 if errors[worst] < 0.99 * best else stalled + 1
+        best = min(best, errors[worst])
+        if stalled >= STALLED:
+            warnings.warn(f"raking ends with {worst} off its targets by {errors[worst]:.3g}; the targets contradict each other", stacklevel=2)
+            return state
 
 
 def _factors(state: DataFrame, d: str, goal: DataFrame) -> DataFrame:
@@ -134,7 +142,15 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     empty texts) change no marginal and stay. Rows equal in key and text stay
     or go together; the result depends on the rows alone, not on their order.
     """
-    base = docs.drop("tokens", "topic", "probability").withColumn("tokens", tokens(text)).withColumn("topic", topic(text))
+    columns = [c for c in docs.columns if c not in ("tokens", "topic", "probability")]
+    # 53 bits of the hash, so the quotient is exact and below one.
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), text_key(text)), 11) / F.lit(float(1 << 53))
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        "source", "lang", topic(text).alias("topic"), tokens(text).alias("tokens"), uniform.alias("uniform"),
+    )
+    # Stored once, so that the patterns run once over every text.
+    base = materialize(base, "mixture-rows")
     cells = materialize(base.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: tempered(cells.where("tokens > 0"), d) for d in DIMENSIONS}
@@ -144,7 +160,5 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     chance = materialize(ratio.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], p.alias("_p")), "chances")
     on = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
     joined = base.join(chance, on[0] & on[1] & on[2], "left")
-    # 53 bits of the hash, so the quotient is exact and below one.
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), text_key(text)), 11) / F.lit(float(1 << 53))
-    kept = joined.withColumn("probability", F.coalesce("_p", F.lit(1.0))).where(uniform < F.col("probability"))
-    return kept.drop("_p", *[f"_{d}" for d in DIMENSIONS])
+    kept = joined.withColumn("probability", F.coalesce("_p", F.lit(1.0))).where(F.col("uniform") < F.col("probability"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in columns], "tokens", "topic", "probability")
