@@ -71,8 +71,7 @@ def match_lists(rules: DataFrame) -> DataFrame:
 def prepend_text(count: Column | str, asn: Column | str = ASN) -> Column:
     """AS-path command: repeated ASN, undo for 0, nothing for null or negatives."""
     count = F.col(count) if isinstance(count, str) else count
-    asn = F.lit(asn) if isinstance(asn, str) else asn
-    path = F.concat_ws(" ", F.array_repeat(asn, count))
+    path = F.concat_ws(" ", F.array_repeat(_text(asn), count))
     return F.when(count == 0, F.lit(" undo apply as-path")).when(
         count > 0, F.concat(F.lit(" apply as-path "), path, F.lit(" additive"))
     )
@@ -83,8 +82,22 @@ def _given(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) != ""
 
 
-def policy_commands(policies: DataFrame, keys: list[str]) -> DataFrame:
-    """Command rows of each policy: keys, line_no, text."""
+def device_asn(policies: DataFrame, devices: DataFrame, key: str = "device_key") -> DataFrame:
+    """Add ``asn``, the AS number of each policy's device as text.
+
+    ``devices`` holds (``key``, local_asn), one row per device. A device without
+    a number, or one that is not listed, has "None", as in the router lines.
+    """
+    numbers = devices.select(key, F.col("local_asn").cast("string").alias("asn"))
+    return policies.join(numbers, key, "left").withColumn("asn", F.coalesce("asn", F.lit("None")))
+
+
+def _text(asn: Column | str) -> Column:
+    return F.lit(asn) if isinstance(asn, str) else asn
+
+
+def policy_commands(policies: DataFrame, keys: list[str], asn: Column | str = ASN) -> DataFrame:
+    """Command rows of each policy: keys, line_no, text; ``asn`` may be a column of the policies."""
     community, preference = F.col("apply_community"), F.col("local_preference")
     lines = F.concat(
         F.array(F.concat(F.lit("route-policy "), F.col("policy_name"), F.lit(" permit node 10"))),
@@ -94,7 +107,7 @@ def policy_commands(policies: DataFrame, keys: list[str]) -> DataFrame:
         F.array(
             F.when(_given(community), F.concat(F.lit(" apply community "), community)),
             F.when(_given(preference), F.concat(F.lit(" apply local-preference "), preference)),
-            prepend_text("as_path_prepend_count"),
+            prepend_text("as_path_prepend_count", asn),
             F.lit("quit"),
         ),
     )
@@ -102,11 +115,12 @@ def policy_commands(policies: DataFrame, keys: list[str]) -> DataFrame:
     return policies.select(*keys, F.posexplode(kept).alias("line_no", "text"))
 
 
-def rule_commands(rules: DataFrame, communities: DataFrame, asn: str = ASN) -> DataFrame:
+def rule_commands(rules: DataFrame, communities: DataFrame, asn: Column | str = ASN) -> DataFrame:
     """Command rows of each rendered rule: (rule_id, step, item, text).
 
     (step, item) orders the rows of a rule: header, match lists, communities,
-    preference, path, quit. This form always prepends the ASN three times.
+    preference, path, quit. This form always prepends the ASN, which may be a
+    column of the rules, three times.
     """
     rendered = rendered_rules(rules)
     matched = match_lists(rendered).where("prefix_list is not null")
@@ -123,7 +137,7 @@ def rule_commands(rules: DataFrame, communities: DataFrame, asn: str = ASN) -> D
         F.when(_given(preference), line(4, F.concat(F.lit(" apply local-preference "), preference))),
         F.when(
             F.col("as_path_prepend_count") > 0,
-            line(5, F.lit(f" apply as-path {' '.join([asn] * 3)} additive")),
+            line(5, F.format_string(" apply as-path %1$s %1$s %1$s additive", _text(asn))),
         ),
         line(6, F.lit("quit")),
     )
@@ -143,12 +157,12 @@ def rule_commands(rules: DataFrame, communities: DataFrame, asn: str = ASN) -> D
     return fixed.unionByName(matches).unionByName(applied)
 
 
-def context_commands(policies: DataFrame, keys: list[str], asn: str = ASN) -> DataFrame:
+def context_commands(policies: DataFrame, keys: list[str], asn: Column | str = ASN) -> DataFrame:
     """Command rows of each policy of a policy context; this form prepends twice."""
     preference = F.col("local_preference")
     lines = F.array(
         F.concat(F.lit("route-policy "), F.col("policy_name"), F.lit(" permit node 10")),
-        F.when(F.col("as_path_prepend_count") > 0, F.lit(f" apply as-path {asn} {asn} additive")),
+        F.when(F.col("as_path_prepend_count") > 0, F.format_string(" apply as-path %1$s %1$s additive", _text(asn))),
         F.when(preference != 0, F.concat(F.lit(" apply local-preference "), preference.cast("string"))),
         F.lit("quit"),
     )

@@ -93,6 +93,18 @@ def str_07_stream(spark, sf_dir):
     return tables.read_actions(spark, f"{base}/out").drop("batch_id")
 
 
+@query("str_07_merged_rules_stream", panels.MERGED_SQL)
+def str_07_merged_stream(spark, sf_dir):
+    """Whole rules after each update, written as the changes happen."""
+    base = session.scratch_dir(spark, "live-rules")
+    dimension = stored_dimension(spark, sf_dir)
+    rules = session.materialize(selection.rule_table(spark, sf_dir), "rules")
+    listed = session.materialize(panels.listed_rules(spark, sf_dir), "listed-rules")
+    handle = jobs.action_batches(dimension, rules, f"{base}/out", listed=listed, merged_path=f"{base}/merged")
+    jobs.start(decided_stream(spark, sf_dir), f"{base}/checkpoint", handle, once=True).awaitTermination()
+    return panels.merged_columns(tables.read_actions(spark, f"{base}/merged"))
+
+
 @query(
     "str_08_live_histogram",
     f"""WITH {views.SCORED_SQL}

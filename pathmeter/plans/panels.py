@@ -210,26 +210,24 @@ def snk_03(spark, sf_dir):
     return tables.read_actions(spark, path).drop("batch_id")
 
 
-@query(
-    "snk_03_merged_rules",
-    ACTIONS_SQL.replace(
-        "SELECT *, true AS dry_run FROM acts",
-        """SELECT site_id, cycle, rule_id, field, found, CASE WHEN found THEN site_id * 100 + rule_id END AS routing_policy,
+MERGED_SQL = ACTIONS_SQL.replace(
+    "SELECT *, true AS dry_run FROM acts",
+    """SELECT site_id, cycle, rule_id, field, found, CASE WHEN found THEN site_id * 100 + rule_id END AS routing_policy,
        CASE WHEN found THEN 10 END AS index, CASE WHEN found THEN 'permit' END AS action,
        CASE WHEN field = 'as_path_prepend_count' THEN CAST(value AS INTEGER) WHEN kept THEN 1 END AS as_path_prepend_count,
        CASE WHEN field = 'local_preference' THEN value WHEN kept THEN '150' END AS local_preference,
        CASE WHEN kept THEN concat('rule ', CAST(rule_id AS VARCHAR)) END AS note, CASE WHEN kept THEN 3 ELSE 1 END AS n_fields
 FROM (SELECT *, site_id % 7 <> 6 AS found, site_id % 7 <> 6 AND site_id % 3 <> 0 AS kept FROM acts) x""",
-    ),
 )
-def snk_03_merged(spark, sf_dir):
-    """Rule rows after all changes' updates; some rules have no fields yet, some are not listed."""
+
+
+def listed_rules(spark, sf_dir):
+    """Rules as they stand: some have no fields yet, some are not listed."""
     kept = F.create_map(
         F.lit("as_path_prepend_count"), F.lit("1"), F.lit("local_preference"), F.lit("150"),
         F.lit("note"), F.concat(F.lit("rule "), F.col("rule_id").cast("string")),
     )
-    ids = selection.rule_table(spark, sf_dir)
-    listed = ids.where("site_id % 7 <> 6").select(
+    return selection.rule_table(spark, sf_dir).where("site_id % 7 <> 6").select(
         "site_id",
         "rule_id",
         (F.col("site_id") * 100 + F.col("rule_id")).alias("routing_policy"),
@@ -237,12 +235,21 @@ def snk_03_merged(spark, sf_dir):
         F.lit("permit").alias("action"),
         F.when(F.col("site_id") % 3 != 0, kept).alias("custom_fields"),
     )
-    switched = selection.decisions(spark, sf_dir).where("provider_changed")
-    dimension = provider_source.default_dimension(views.sites(spark, sf_dir))
-    merged = failover.merged_rules(failover.policy_actions(switched, dimension, ids), listed)
+
+
+def merged_columns(merged):
     return merged.select(
         "site_id", "cycle", "rule_id", "field", "found", "routing_policy", "index", "action",
         "as_path_prepend_count", "local_preference",
         F.try_element_at("custom_fields", F.lit("note")).alias("note"),
         F.size("custom_fields").alias("n_fields"),
     )
+
+
+@query("snk_03_merged_rules", MERGED_SQL)
+def snk_03_merged(spark, sf_dir):
+    """Rule rows after all changes' updates; some rules have no fields yet, some are not listed."""
+    switched = selection.decisions(spark, sf_dir).where("provider_changed")
+    dimension = provider_source.default_dimension(views.sites(spark, sf_dir))
+    actions = failover.policy_actions(switched, dimension, selection.rule_table(spark, sf_dir))
+    return merged_columns(failover.merged_rules(actions, listed_rules(spark, sf_dir)))

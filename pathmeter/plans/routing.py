@@ -312,6 +312,51 @@ def arr_02(spark, sf_dir):
     return policy.policy_commands(last, KEYS)
 
 
+def policy_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AS numbers of two thirds of the policies' devices; every thirteenth of these has none."""
+    return views.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(
+        F.col("c_custkey").alias("device_key"),
+        F.expr("case when c_custkey % 13 <> 0 then 64512 + c_custkey end").alias("local_asn"),
+    )
+
+
+DEVICE_SQL = """dev AS (SELECT c_custkey AS device_key, CASE WHEN c_custkey % 13 <> 0 THEN 64512 + c_custkey END AS local_asn
+  FROM customer WHERE c_custkey % 3 <> 0)"""
+DEVICE_PREPEND_SQL = PREPEND_SQL.replace("'65000'", "coalesce(CAST(local_asn AS VARCHAR), 'None')")
+
+
+@query(
+    "arr_01_device_prepend_text",
+    f"""WITH {RULES_SQL}, {DEVICE_SQL}
+SELECT rule_id, as_path_prepend_count, {DEVICE_PREPEND_SQL} AS text FROM rule LEFT JOIN dev USING (device_key)""",
+)
+def arr_01_device(spark, sf_dir):
+    """The AS-path command of every rule with the number of its own device."""
+    numbered = policy.device_asn(rules(spark, sf_dir), policy_devices(spark, sf_dir))
+    return numbered.select(
+        "rule_id", "as_path_prepend_count", policy.prepend_text("as_path_prepend_count", F.col("asn")).alias("text")
+    )
+
+
+@query(
+    "arr_02_device_policy_commands",
+    f"""WITH {RULES_SQL}, {DEVICE_SQL},
+l AS (SELECT device_key, policy_name, list_filter(list_concat(
+        ['route-policy ' || policy_name || ' permit node 10'],
+        list_transform(match_ipv6_address, lambda p: ' if-match ipv6 address prefix-list ' || p),
+        [CASE WHEN apply_community <> '' THEN ' apply community ' || apply_community END,
+         CASE WHEN local_preference <> '' THEN ' apply local-preference ' || local_preference END, {DEVICE_PREPEND_SQL}, 'quit']),
+        lambda x: x IS NOT NULL) AS lines FROM last_rule LEFT JOIN dev USING (device_key))
+SELECT device_key, policy_name, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS text
+FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l) x""",
+)
+def arr_02_device(spark, sf_dir):
+    """Policy commands in which each device prepends its own AS number."""
+    last = policy.last_rule_wins(rules(spark, sf_dir), KEYS, "rule_id")
+    numbered = policy.device_asn(last, policy_devices(spark, sf_dir))
+    return policy.policy_commands(numbered, KEYS, F.col("asn"))
+
+
 @query(
     "arr_02_rule_commands",
     f"""WITH {RULES_SQL},

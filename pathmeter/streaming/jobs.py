@@ -61,13 +61,28 @@ def stream_documents(
 
 
 def action_batches(
-    dimension: DataFrame, rules: DataFrame, path: str, dry_run: bool = True
+    dimension: DataFrame,
+    rules: DataFrame,
+    path: str,
+    dry_run: bool = True,
+    listed: DataFrame | None = None,
+    merged_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler that writes the rule updates of all changes in it."""
+    """Micro-batch handler that writes the rule updates of all changes in it.
+
+    With ``listed``, the rules as they stand (see ``failover.merged_rules``), the
+    whole rule of each update goes to ``merged_path`` too. It is made from the
+    actions as written, so the selection is not run again; both tables replace
+    their folder of the batch, so a repeated batch leaves the same rows.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         switched = dashboard.change_events(batch)
         tables.write_actions(failover.policy_actions(switched, dimension, rules), path, batch_id, dry_run)
+        if listed is not None:
+            written = tables.read_actions(batch.sparkSession, path).where(F.col("batch_id") == batch_id)
+            merged = failover.merged_rules(written.drop("batch_id", "dry_run"), listed)
+            tables.write_actions(merged, merged_path, batch_id, dry_run)
 
     return handle
 
