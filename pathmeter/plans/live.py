@@ -8,7 +8,7 @@ from pathmeter import params as P
 from pathmeter import schemas, session
 from pathmeter.functions import scoring
 from pathmeter.plans import panels, reports, selection, views
-from pathmeter.plans.registry import query
+from pathmeter.plans.registry import ORACLE_SQL, query
 from pathmeter.plans.views import PROVIDERS, cut_sql
 from pathmeter.sources import providers as provider_source
 from pathmeter.sources import reports as report_source
@@ -73,6 +73,35 @@ def str_02_stream(spark, sf_dir):
     )
 
 
+#: The first cycle that the stream of late rows takes; rows of earlier ones come too late.
+FIRST_TAKEN = 5
+
+
+@query(
+    "str_05_late_rows",
+    f"""WITH {views.SCORED_SQL}
+SELECT site_id, cycle, provider, ts FROM scored WHERE cycle < {FIRST_TAKEN}""",
+)
+def str_05_late(spark, sf_dir):
+    """Measurements of cycles already taken, stored apart from the decisions of the same stream."""
+    session.use_rocksdb(spark)
+    base = session.scratch_dir(spark, "late")
+    decided = live_failover.select_stream(scored_stream(spark, sf_dir), PROVIDERS, first_cycle=FIRST_TAKEN, late_rows=True)
+    handle = jobs.split_batches(f"{base}/out", f"{base}/late", f"{base}/counts")
+    jobs.start(decided, f"{base}/checkpoint", handle, once=True).awaitTermination()
+    return tables.read_actions(spark, f"{base}/late").select("site_id", "cycle", "provider", "ts")
+
+
+@query("str_03_margin_stream", ORACLE_SQL["str_03_margin_fold"])
+def str_03_stream(spark, sf_dir):
+    """The decisions of the margin mode from keyed state."""
+    session.use_rocksdb(spark)
+    base = session.scratch_dir(spark, "margin")
+    decided = live_failover.select_stream(scored_stream(spark, sf_dir), PROVIDERS, selection.MARGIN_ONLY)
+    jobs.append_table(decided, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("site_id", "cycle", "current_provider", "reason", "new_provider")
+
+
 @query("str_05_cycle_documents", f"WITH RECURSIVE {panels.DOCS_SQL} SELECT *, CAST(ts AS DATE) AS dt FROM docs")
 def str_05(spark, sf_dir):
     """One document per completed cycle, appended to its day."""

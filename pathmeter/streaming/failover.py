@@ -54,6 +54,9 @@ def output_schema(n: int) -> T.StructType:
             T.StructField("new", T.IntegerType()),
             T.StructField("previous", T.IntegerType()),
             T.StructField("after_candidate", T.IntegerType()),
+            # Only in rows that came too late: the provider, and how many cycles the site was past the row's.
+            T.StructField("late_provider", T.IntegerType()),
+            T.StructField("late_by", T.LongType()),
         ]
         + [
             T.StructField(f"{name}_{i}", T.DoubleType())
@@ -68,7 +71,8 @@ class SelectionProcessor(StatefulProcessor):
 
     Rows come in any order. A cycle is taken once all its providers are there;
     when the watermark passes its time plus ``grace``, missing ones count as
-    failed. Rows of cycles already taken are dropped.
+    failed. Rows of cycles already taken come out as they are, tagged as late,
+    and change nothing.
     """
 
     def __init__(self, n: int, params: FailoverParams, grace_seconds: int, first_cycle: int = 0):
@@ -105,12 +109,14 @@ class SelectionProcessor(StatefulProcessor):
         # Complete cycles are taken after every Arrow batch, so rows that arrive
         # roughly in order never pile up.
         for pdf in rows:
-            self._merge(pdf, entries, state["next_cycle"])
-            yield self._frame(self._drain(key[0], entries, state))
+            late = self._merge(key[0], pdf, entries, state["next_cycle"])
+            yield self._frame(late + self._drain(key[0], entries, state))
         self._keep(entries, stored, state["next_cycle"])
         self._save(state)
 
-    def _merge(self, pdf: pd.DataFrame, entries: dict[int, list], next_cycle: int) -> None:
+    def _merge(self, site_id: int, pdf: pd.DataFrame, entries: dict[int, list], next_cycle: int) -> list[dict]:
+        """Put the rows to their waiting cycles; those of cycles already taken are returned."""
+        late = []
         width = len(_FIGURES)
         figures = pdf[_FIGURES].to_numpy()
         for cycle, order, ts, values in zip(
@@ -120,6 +126,9 @@ class SelectionProcessor(StatefulProcessor):
                 entry = entries.setdefault(cycle, [ts, [None] * (self.n * width)])
                 entry[0] = max(entry[0], ts)
                 entry[1][order * width : (order + 1) * width] = [float(v) for v in values]
+            else:
+                late.append({"site_id": site_id, "cycle": cycle, "ts_micros": ts, "late_provider": order, "late_by": next_cycle - cycle})
+        return late
 
     def _drain(self, site_id: int, entries: dict[int, list], state: dict) -> list[dict]:
         out = []
@@ -228,9 +237,11 @@ class SelectionProcessor(StatefulProcessor):
     def _frame(self, rows: list[dict]) -> pd.DataFrame:
         schema = output_schema(self.n)
         pdf = pd.DataFrame(rows, columns=schema.fieldNames())
-        for name in ("current", "new", "previous", "after_candidate"):
+        for name in ("current", "new", "previous", "after_candidate", "late_provider"):
             pdf[name] = pdf[name].astype("Int32")
-        for name in ("site_id", "cycle", "ts_micros", "counter"):
+        for name in ("counter", "late_by"):
+            pdf[name] = pdf[name].astype("Int64")
+        for name in ("site_id", "cycle", "ts_micros"):
             pdf[name] = pdf[name].astype("int64")
         return pdf
 
@@ -243,9 +254,14 @@ def select_stream(
     grace_seconds: int = 120,
     starts: DataFrame | None = None,
     first_cycle: int = 0,
+    late_rows: bool = False,
 ) -> DataFrame:
     """One row per completed site and cycle from a stream of imputed measurements.
 
+    With ``late_rows`` the measurements that came after their cycle was taken
+    come out too, with ``late_provider`` and ``late_by`` and no decision;
+    ``jobs.split_batches`` parts the two.
+
     Measurements may bring the ``switch_margin`` of their site. ``starts`` comes
     from :func:`stream_starts`. Use the RocksDB state store.
     """
@@ -268,6 +284,9 @@ def select_stream(
             margin.alias("switch_margin"),
         )
     )
+    if late_rows:
+        # Without the column the watermark still moves on, but does not keep older rows from the processor.
+        rows = rows.drop("event_time")
     n = len(providers)
     out = rows.groupBy("site_id").transformWithStateInPandas(
         statefulProcessor=SelectionProcessor(n, params, grace_seconds, first_cycle),
@@ -276,7 +295,9 @@ def select_stream(
         timeMode="eventTime",
         initialState=None if starts is None else starts.groupBy("site_id"),
     )
-    return name_decisions(out, providers)
+    if not late_rows:
+        return name_decisions(out.where("late_by IS NULL").drop("late_provider", "late_by"), providers)
+    return name_decisions(out, providers).withColumn("late_provider", failover.provider_name("late_provider", providers))
 
 
 def name_decisions(df: DataFrame, providers: list[str]) -> DataFrame:

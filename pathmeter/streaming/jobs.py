@@ -87,6 +87,28 @@ def action_batches(
     return handle
 
 
+def split_batches(path: str, late_path: str, counts_path: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler that stores decisions and late rows apart, and how many of each a batch had.
+
+    The batch is kept while it is written, so the selection runs once; each
+    table replaces its folder of the batch.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            late = F.col("late_by").isNotNull()
+            kept.where(~late).drop("late_provider", "late_by").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            rows = kept.where(late).select("site_id", "cycle", "ts", F.col("late_provider").alias("provider"), "late_by")
+            rows.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+            counts = kept.agg(F.count_if(~late).alias("decisions"), F.count_if(late).alias("late_rows"))
+            counts.write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
+
+    return handle
+
+
 def live_histogram(
     stream: DataFrame, width: str, values: dict, keys: list[str], delay: str = "2 minutes"
 ) -> DataFrame:

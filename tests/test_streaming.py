@@ -130,3 +130,22 @@ def test_malformed_reports_become_failed_measurements(spark, tmp_path):
     assert [got[i].failed for i in range(4)] == [False, True, True, True]
     assert (got[0].peer_avg, got[0].peer_loss, got[0].dns_avg, got[0].dns_stddev) == (2.0, 1.0, float("inf"), 0.0)
     assert got[1].score == 20999.0
+
+
+def test_late_rows_are_stored_apart_and_counted(spark, tmp_path):
+    """A row of cycle 3 comes after the watermark has closed it: the decisions stay, the row is kept."""
+    session.use_rocksdb(spark)
+    data = rows([(6, 10)] * 30)
+    late = [r for r in data if r[1] == 3 and r[2] == "P1"]
+    # The last slice brings the late row alone.
+    first = [r for r in data if r not in late]
+    write_slices(spark, first + late * 6, tmp_path / "in", 6)
+    decided = live.select_stream(stream(spark, tmp_path / "in"), PROVIDERS, delay="30 seconds", grace_seconds=60, late_rows=True)
+    paths = [str(tmp_path / n) for n in ("out", "late", "counts")]
+    jobs.start(decided, str(tmp_path / "cp"), jobs.split_batches(*paths), once=True).awaitTermination()
+    out, kept, counts = (spark.read.parquet(p) for p in paths)
+    assert by_site(out)[0] == naive_fold([(None, 10) if c == 3 else (6, 10) for c in range(30)])
+    got = kept.collect()
+    assert {(r.site_id, r.cycle, r.late_by > 0) for r in got} == {(0, 3, True)}
+    total = counts.groupBy().sum("decisions", "late_rows").first()
+    assert tuple(total) == (30, len(got))
