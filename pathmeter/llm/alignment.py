@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pathmeter.llm import bpe
 from pathmeter.session import materialize
 
 #: Bytes of text whose tokens are merged in one go; a longer text is one go of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: A longer stretch of A's tokens is cut into several lanes where a B token ends too, sought over so many tokens.
 LANE = 4096
 SEEK = 512
@@ -33,10 +38,31 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def ranks_of(model: dict, signs: dict[str, int]) -> dict[bytes, int] | None:
+    """Tokens of a byte-level BPE as ranks, if its merges make them in the order of their ids.
+
+    Then the lowest merge and the lowest id are the same pair, and a rank
+    encoder gives the same ids; where the order differs there is none.
+    """
+    vocab = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    single = sorted(i for t, i in vocab.items() if len(t) == 1)
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    if len(single) != 256 or single + made != list(range(256 + len(made))) or len(vocab) != len(single) + len(made):
+        return None
+    return {bytes(signs[x] for x in t): i for t, i in vocab.items()}
+
+
 class Tokenizers:
-    """Both tokenizers and the bytes of each of their tokens."""
+    """Both tokenizers and the bytes of each of their tokens.
+
+    A's ids come from a rank encoder over the same vocabulary where that gives
+    the same ids (see ``ranks_of``), at a quarter of the time, else from its own library.
+    """
 
-    def __init__(self, a_json: bytes, b_model: bytes):
+    def __init__(self, a_json: bytes, b_model: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(a_json.decode())
         self.a.encode_special_tokens = True
@@ -50,6 +76,10 @@ class Tokenizers:
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         most = max(len(self.bytes_a), self.n_b)
         #: Every id followed by each of the four endings, in the order of ``_ENDINGS``.
+        spec = json.loads(a_json)
+        known = spec["normalizer"] is None and spec["pre_tokenizer"] == _PRE_TOKENIZER and len(spec["added_tokens"]) == len(entries) - len(spec["model"]["vocab"])
+        ranks = ranks_of(spec["model"], signs) if known else None
+        self.ranks = ranks and tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.written = [f"{i}{end}" for end in _ENDINGS for i in range(most)]
         self.most = most
 
@@ -66,7 +96,10 @@ class Tokenizers:
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for every text; no ids where either does not spell space and text."""
         spaced = [" " + t for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+        if self.ranks:
+            ids_a = [bpe.encode(self.ranks, t) for t in spaced]
+        else:
+            ids_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
         for i, t in enumerate(spaced):
             whole = t.encode()
@@ -76,6 +109,7 @@ class Tokenizers:
 
 
 _ENDINGS = (",", "|", ";", "")
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 @dataclass
@@ -162,8 +196,8 @@ def aligned(both: Tokenizers, texts: list[str | None]) -> dict[str, np.ndarray |
         if not t:
             ids_a[i], ids_b[i] = [], []
     starts_a, starts_b = _starts([len(x) for x in ids_a]), _starts([len(x) for x in ids_b])
-    flat_a = np.fromiter((i for x in ids_a for i in x), np.int64, starts_a[-1])
-    flat_b = np.fromiter((i for x in ids_b for i in x), np.int64, starts_b[-1])
+    flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, starts_a[-1])
+    flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, starts_b[-1])
     made = merge(_ends(flat_a, both.len_a, starts_a), _ends(flat_b, both.len_b, starts_b), starts_a, starts_b)
     n = len(texts)
     key = flat_a[made.a] * both.n_b + flat_b[made.b]
@@ -224,7 +258,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text:
     through Arrow unchanged. Vocabulary files, under 3 MB, are read on the
     driver and sent with the tasks.
     """
-    files = docs.sparkSession.sparkContext.broadcast(tuple(_read(f) for f in (a_file, b_file)))
+    files = docs.sparkSession.sparkContext.broadcast((_read(a_file), _read(b_file), public_tokenizers.PATTERN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(*files.value)

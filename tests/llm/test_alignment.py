@@ -22,6 +22,10 @@ TEXTS = [
 ]
 
 
+def tokenizers():
+    return alignment.Tokenizers(alignment._read(A), alignment._read(B), public_tokenizers.PATTERN)
+
+
 def brute(texts):
     """Per text the contract's columns, by the bytes each token covers."""
     a_tok, b_tok = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
@@ -100,7 +104,7 @@ def test_lanes_do_not_change_the_result(lane):
 
 
 def test_long_text_takes_seconds():
-    both = alignment.Tokenizers(alignment._read(A), alignment._read(B))
+    both = tokenizers()
     text = "The quick brown fox jumps over it. " * 30_000
     begin = time.time()
     made = alignment.aligned(both, [text])
@@ -113,3 +117,24 @@ def test_registered_query_against_the_plain_loop(spark):
     want = {i: row for (i, _), row in zip(rows, brute([t for _, t in rows]))}
     out = queries.QUERIES["op11_token_alignment"](spark, sf_dir)
     assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in out.collect()} == want
+
+
+def test_ranks_give_the_ids_of_the_tokenizer_itself():
+    """Every entry of the vocabulary, a part of all code points and long runs; with no ranks the library encodes."""
+    both = tokenizers()
+    assert both.ranks is not None
+    texts = [b.decode() for b in both.bytes_a if b.decode("utf-8", "ignore").encode() == b]
+    texts += [form.replace("{}", chr(c)) for c in range(1, 0x30000, 61) if not 0xD800 <= c <= 0xDFFF for form in ("a{}a", "1{}{} !", " {} \n{}")]
+    texts += ["x" * 50_000, " " * 50_000 + "y", "\n\t" * 9_000, "<|endoftext|>" * 3]
+    by_ranks = both.encode(texts)
+    both.ranks = None
+    assert both.encode(texts) == by_ranks
+
+
+def test_other_merge_orders_have_no_ranks():
+    signs = alignment.byte_signs()
+    vocab = {s: b for s, b in signs.items()} | {"ab": 256, "abc": 257}
+    model = {"vocab": vocab, "merges": [["a", "b"], ["ab", "c"]]}
+    assert alignment.ranks_of(model, signs)[b"abc"] == 257
+    assert alignment.ranks_of(model | {"merges": model["merges"][::-1]}, signs) is None
+    assert alignment.ranks_of(model | {"byte_fallback": True}, signs) is None
