@@ -32,8 +32,8 @@ def add_halo(df: DataFrame, keys: list[str], pos: str, back: int, chunk: int = C
         raise ValueError("the halo must hold a row")
     home = whole_div(pos, chunk)
     copies = F.when(_at_end(pos, back, chunk), F.array(home, home + 1)).otherwise(F.array(home))
-    further = session.materialize(_over_gaps(df, keys, pos, back, chunk), "gaps")
-    if not further.isEmpty():
+    if _has_gaps(df, keys, pos, back, chunk):
+        further = session.materialize(_over_gaps(df, keys, pos, back, chunk), "gaps")
         df = df.join(further, [*keys, pos], "left")
         copies = F.concat(copies, F.coalesce("_further", F.array().cast("array<bigint>")))
     placed = df.withColumn("_chunk", F.explode(copies)).withColumn("_halo", F.col("_chunk") != home)
@@ -44,6 +44,29 @@ def _at_end(pos: str, back: int, chunk: int) -> Column:
     return F.pmod(F.col(pos), F.lit(chunk)) >= chunk - back
 
 
+def _has_gaps(df: DataFrame, keys: list[str], pos: str, back: int, chunk: int) -> bool:
+    """Whether some chunk but the last of its key lacks one of its last ``back`` positions.
+
+    Reads keys and positions only. Chunks and keys are counted by aggregates
+    with partial sums, and a single flag comes to the driver. Where this says
+    no, the positions that are repeated in the next chunk are all there is to
+    repeat.
+    """
+    if back > min(chunk, 62):
+        return True
+    slot = (F.pmod(F.col(pos), F.lit(chunk)) - (chunk - back)).cast("int")
+    full = (1 << back) - 1
+    ends = df.where(F.col(pos).isNotNull()).groupBy(*keys, whole_div(pos, chunk).alias("_chunk")).agg(
+        F.bit_or(F.when(slot >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)).otherwise(0)).alias("_seen")
+    )
+    thin = F.col("_seen") != full
+    spans = ends.groupBy(*keys).agg(
+        (F.max("_chunk") - F.min("_chunk") + 1 > F.count(F.lit(1))).alias("_missing"),
+        (F.count_if(thin) > F.max_by(thin.cast("int"), "_chunk")).alias("_thin"),
+    )
+    return bool(spans.agg(F.bool_or(F.col("_missing") | F.col("_thin"))).first()[0])
+
+
 def _newest(positions: Column, back: int) -> Column:
     return F.slice(F.sort_array(positions, asc=False), 1, back)
 
@@ -123,27 +146,38 @@ def prefix_scan(
     before this row". Rows are scanned within blocks of positions and the block
     totals are scanned in turn, ``levels`` times.
     """
-    agg = {"sum": F.sum, "max": F.max}[how]
+    return prefix_scans(df, keys, pos, {out: (value, how)}, block, levels)
+
+
+def prefix_scans(
+    df: DataFrame, keys: list[str], pos: str, scans: dict[str, tuple[str, str]], block: int = CHUNK, levels: int = 2
+) -> DataFrame:
+    """Several :func:`prefix_scan` at once, given as out: (value, how)."""
+    aggs = {"sum": F.sum, "max": F.max}
     if levels <= 1:
         window = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, agg(value).over(window))
-    names = [f"_{n}{levels}" for n in ("block", "total", "carry", "inner")]
-    at, total, carry, inner = names
+        return df.withColumns({out: aggs[how](value).over(window) for out, (value, how) in scans.items()})
+    at = f"_block{levels}"
+    total, carry, inner = ({out: f"_{n}{levels}_{out}" for out in scans} for n in ("total", "carry", "inner"))
     blocked = df.withColumn(at, whole_div(pos, block))
     window = Window.partitionBy(*keys, at).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(*keys, at).agg(agg(value).alias(total))
-    carries = prefix_scan(totals, keys, at, total, how, carry, block, levels - 1)
-    if how == "sum":
-        merged = F.coalesce(F.col(inner) + F.col(carry), inner, carry)
-    elif _ascending_payload(df, value):
-        merged = F.coalesce(inner, carry)
-    else:
-        merged = F.greatest(inner, carry)
+    totals = blocked.groupBy(*keys, at).agg(*[aggs[how](value).alias(total[out]) for out, (value, how) in scans.items()])
+    over_blocks = {carry[out]: (total[out], how) for out, (_, how) in scans.items()}
+    carries = prefix_scans(totals, keys, at, over_blocks, block, levels - 1)
+    merged = {}
+    for out, (value, how) in scans.items():
+        here, before = F.col(inner[out]), F.col(carry[out])
+        if how == "sum":
+            merged[out] = F.coalesce(here + before, here, before)
+        elif _ascending_payload(df, value):
+            merged[out] = F.coalesce(here, before)
+        else:
+            merged[out] = F.greatest(here, before)
     return (
-        blocked.withColumn(inner, agg(value).over(window))
-        .join(carries.select(*keys, at, carry), [*keys, at])
-        .withColumn(out, merged)
-        .drop(at, inner, carry)
+        blocked.withColumns({inner[out]: aggs[how](value).over(window) for out, (value, how) in scans.items()})
+        .join(carries.select(*keys, at, *carry.values()), [*keys, at])
+        .withColumns(merged)
+        .drop(at, *carry.values(), *inner.values())
     )
 
 
@@ -187,6 +221,7 @@ def run_length(
     positions. A run starts where the value differs from the row before. Chunks
     number their rows; the rows before a chunk, the value it continues and the
     start of the run it continues are scanned over one summary row per chunk.
+    Rows and summaries are stored, as several steps read them.
     """
     step = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     changed = (F.col("_row") > 1) & ~F.lag(value).over(step).eqNullSafe(F.col(value))
@@ -196,14 +231,15 @@ def run_length(
         .withColumn("_start", F.when(changed, F.col("_row")))
         .withColumn("_start", F.max("_start").over(step.rowsBetween(Window.unboundedPreceding, 0)))
     )
+    rows = session.materialize(rows, "runs")
     ends = rows.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("_start").alias("_last"),
         F.min_by(F.struct(value), pos).alias("_first_value"),
         F.struct(F.max("_chunk").alias("at"), F.max_by(F.struct(value), pos).alias("of")).alias("_last_value"),
     )
-    ends = prefix_scan(ends, keys, "_chunk", "_n", "sum", "_skip")
-    ends = prefix_scan(ends, keys, "_chunk", "_last_value", "max", "_before")
+    ends = session.materialize(ends, "run-ends")
+    ends = prefix_scans(ends, keys, "_chunk", {"_skip": ("_n", "sum"), "_before": ("_last_value", "max")})
     skip = F.coalesce("_skip", F.lit(0))
     new = ~F.coalesce(F.col("_before.of").eqNullSafe(F.col("_first_value")), F.lit(False))
     ends = ends.withColumns(
