@@ -51,8 +51,37 @@ def recursive(tree, path=""):
 @given(st.lists(trees, max_size=3) | st.dictionaries(st.text("xy", min_size=1), trees, max_size=3))
 def test_walker_equals_recursion(tree):
     paths, values, types = [], [], []
-    jsonpaths.add_leaves(tree, paths, values, types)
+    jsonpaths.add_leaves([("", tree)], paths, values, types)
     assert list(zip(paths, values, types)) == recursive(tree)
+    assert [(path, str(v), type(v).__name__) for path, v in jsonpaths.deep_leaves(tree)] == recursive(tree)
+
+
+def read_or_error(parse, doc):
+    try:
+        return repr(parse(doc))
+    except ValueError:
+        return "error"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_deep_parser_equals_the_standard_one(data):
+    """On whole documents, and on ones with characters put in, taken out or changed."""
+    tree = data.draw(st.recursive(
+        st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=4),
+        lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text(max_size=2), inner, max_size=3), max_leaves=8,
+    ))
+    doc = json.dumps(tree, indent=data.draw(st.none() | st.integers(0, 2)), ensure_ascii=data.draw(st.booleans()))
+    for _ in range(data.draw(st.integers(0, 2))):
+        at = data.draw(st.integers(0, len(doc)))
+        doc = doc[:at] + data.draw(st.sampled_from(list('{}[]",:-.0e1 \\nt') + [""])) + doc[at + data.draw(st.integers(0, 1)):]
+    assert read_or_error(jsonpaths.parse_deep, doc) == read_or_error(json.loads, doc)
+
+
+def test_deep_parser_takes_the_last_of_equal_names_at_the_first_place():
+    doc = '{"a": 1, "b": [{"": {"x": 1e2}}], "a": NaN, "": {"y": -Infinity}}'
+    assert repr(jsonpaths.parse_deep(doc)) == repr(json.loads(doc))
+    assert [p for p, _ in jsonpaths.deep_leaves(json.loads(doc))] == ["a", "b[0]..x", "y"]
 
 
 def test_strip_and_preview(spark):
@@ -68,9 +97,26 @@ def test_merge_fields_keeps_fields_without_updates(spark):
     assert [r[0] for r in df.select(text.merge_fields("c", "u")).collect()] == [{"a": "1"}, {"b": "2"}, {}]
 
 
-def test_too_deep_documents_are_unreadable(spark):
-    df = spark.createDataFrame([(1, "[" * 200_000 + "]" * 200_000), (2, '{"a": 1}')], "doc_id bigint, doc string")
-    assert [r.doc_id for r in jsonpaths.leaf_paths(df).collect()] == [2]
+def test_very_deep_documents_are_read(spark):
+    n = 200_000
+    docs = [
+        (1, "[" * n + "]" * n), (2, '{"a": 1}'), (3, "[" * n + "7,[true" + "]" * n + "]"), (4, '{"k":' * n + "null" + "}" * n),
+        (5, "[" * n + "1" + "]" * (n - 1)), (6, "[" * n + "1" + "]" * (n + 1)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, doc string")
+    got = {(r.doc_id, r.path, r.value, r.type) for r in jsonpaths.leaf_paths(df).collect()}
+    assert got == {
+        (2, "a", "1", "int"), (3, "[0]" * n, "7", "int"), (3, "[0]" * (n - 1) + "[1][0]", "True", "bool"),
+        (4, ".".join("k" * n), "None", "NoneType"),
+    }
+
+
+def test_leaves_of_one_document_come_in_batches(spark):
+    doc = json.dumps({"x": list(range(3 * jsonpaths.BATCH + 5)), "y": "end"})
+    got = jsonpaths.leaf_paths(spark.createDataFrame([(None, doc), (2**53 + 1, doc)], "doc_id bigint, doc string"))
+    rows = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("value").try_cast("int")).alias("s")).collect()
+    k = 3 * jsonpaths.BATCH + 5
+    assert {tuple(r) for r in rows} == {(None, k + 1, k * (k - 1) // 2), (2**53 + 1, k + 1, k * (k - 1) // 2)}
 
 
 def test_address_family_is_that_of_the_standard_library(spark):
