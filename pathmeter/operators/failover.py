@@ -360,6 +360,53 @@ def fold(
     )
 
 
+def fold_by_site(
+    measurements: DataFrame, dimension: DataFrame, params: FailoverParams = FailoverParams(), chunk: int = CHUNK
+) -> DataFrame:
+    """:func:`fold` where every site has its own providers.
+
+    ``dimension`` holds (site_id, provider, provider_ord), numbered from 0 per
+    site, as :func:`pathmeter.sources.providers.read_dimension` gives it. Sites
+    with equally many providers are folded together, so a table of states is as
+    large as the site's own set asks for; there is one fold for each such
+    number. A listed provider without a row in a cycle counts as failed. Rows of
+    providers that the site does not list are left out;
+    :func:`unlisted_by_site` counts them. ``params.initial`` must be a provider
+    number that every site has.
+    """
+    listed = dimension.select("site_id", "provider", F.col("provider_ord").alias("_ord"))
+    sets = listed.groupBy("site_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_ord", "provider"))), lambda x: x["provider"]).alias("_names")
+    )
+    sets = session.materialize(sets.withColumn("_n", F.size("_names")), "provider-sets")
+    # One number per size of a set, not per site.
+    sizes = sorted(r["_n"] for r in sets.select("_n").distinct().collect())
+    if sizes and params.initial >= sizes[0]:
+        raise ValueError(f"a site has {sizes[0]} providers only, none numbered {params.initial}")
+    numbers = sets.select("site_id", "_n", F.posexplode("_names").alias("_ord", "provider"))
+    known = measurements.join(numbers, ["site_id", "provider"])
+    known = session.materialize(known.withColumn("provider", F.col("_ord").cast("string")).drop("_ord"), "listed", by="_n")
+    folds = [
+        fold(known.where(F.col("_n") == n).drop("_n"), [str(i) for i in range(n)], params, chunk=chunk) for n in sizes or [1]
+    ]
+    out = folds[0]
+    for other in folds[1:]:
+        out = out.unionByName(other)
+    named = {c: F.get("_names", F.col(c).cast("int")) for c in ("current_provider", "new_provider", "candidate")}
+    columns = out.columns
+    return out.join(sets.drop("_n"), "site_id").withColumns(named).select(*columns)
+
+
+def unlisted_by_site(measurements: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(site_id, provider, rows): what :func:`fold_by_site` leaves out; rows without
+    a site or a provider are among them.
+
+    Rows are counted before the look-up, so no hot site is joined row by row.
+    """
+    counted = measurements.groupBy("site_id", "provider").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.join(dimension.select("site_id", "provider"), ["site_id", "provider"], "left_anti")
+
+
 def unlisted_rows(measurements: DataFrame, providers: list[str]) -> DataFrame:
     """(site_id, provider, rows): what :func:`fold` leaves out, as its provider is
     not listed; a null provider counts as one of them."""

@@ -374,3 +374,52 @@ FROM decision d JOIN (SELECT DISTINCT site_id, cycle, place FROM {NUMBERED}) o O
 )
 def str_02_gaps(spark, sf_dir):
     return failover.fold(measured_with_gaps(spark, sf_dir), PROVIDERS, SUSTAINED, chunk=GAP_CHUNK).drop("candidate")
+
+
+# ------------------------------------------------- providers that differ by site
+
+
+def own_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored dimension: of four sites one has the usual providers, one the
+    other order, one lists the first only, one a third that never reports."""
+    names = {0: [1, 2], 1: [2, 1], 2: [1], 3: [1, 2, 3]}
+    lists = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, ",".join(f"PROVIDER{i}" for i in v))])
+    site = views.sites(spark, sf_dir).withColumn("_names", F.split(lists[F.expr("cast(site_id % 4 as int)")], ","))
+    # Numbers with gaps, as a table kept by hand has them.
+    rows = site.select("site_id", F.posexplode("_names").alias("at", "provider"))
+    path = session.scratch_dir(spark, "own-providers")
+    rows.select("site_id", "provider", (F.col("at") * 10 + 5).cast("int").alias("provider_ord")).write.parquet(path)
+    return provider_source.read_dimension(spark, path)
+
+
+# The third provider is as good as a failed one, so the usual fold holds there too.
+OWN_FOLD_SQL = (
+    FOLD_SQL.replace(
+        "CAST(event_id % 2 AS INTEGER) AS provider_ord",
+        "CAST(CASE WHEN (event_id // 2) % 4 = 1 THEN 1 - event_id % 2 ELSE event_id % 2 END AS INTEGER) AS provider_ord",
+    )
+    .replace("  FROM ev)", "  FROM ev WHERE NOT ((event_id // 2) % 4 = 2 AND event_id % 2 = 1))")
+    .replace("CAST(pre + 1 AS", "CAST(CASE WHEN site_id % 4 = 1 THEN 2 - pre ELSE pre + 1 END AS")
+    .replace("CAST(cur + 1 AS", "CAST(CASE WHEN site_id % 4 = 1 THEN 2 - cur ELSE cur + 1 END AS")
+)
+
+
+@query(
+    "str_02_fold_by_site",
+    f"""WITH RECURSIVE {OWN_FOLD_SQL}
+SELECT site_id, cycle, current_provider, reason, counter, provider_changed, new_provider FROM decision""",
+)
+def str_02_by_site(spark, sf_dir):
+    """Sites with one, two and three providers in one fold."""
+    own = own_providers(spark, sf_dir)
+    return failover.fold_by_site(views.measurements(spark, sf_dir), own, SUSTAINED).drop("candidate")
+
+
+@query(
+    "src_03_unlisted_providers",
+    f"""WITH {views.PROBE_SQL}
+SELECT site_id, provider, count(*) AS rows FROM probe WHERE site_id % 4 = 2 AND provider = 'PROVIDER2' GROUP BY ALL""",
+)
+def src_03_unlisted(spark, sf_dir):
+    """Rows of providers that their site does not list."""
+    return failover.unlisted_by_site(views.measurements(spark, sf_dir), own_providers(spark, sf_dir))

@@ -50,13 +50,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write a result that several outputs share and read it back.
 
     This cuts the lineage: lost executors cost a re-read, not a recomputation.
+    With ``by`` each value of that column gets its own folder, so that a reader
+    of one value reads no other.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

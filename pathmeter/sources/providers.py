@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathmeter import params as P
@@ -33,3 +33,23 @@ def thresholds_or_default(
     return sites.join(calibrated.select("site_id", *names), "site_id", "left").select(
         "site_id", *[F.coalesce(n, F.lit(float(getattr(default, n)))).alias(n) for n in names]
     )
+
+
+def read_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """The stored providers of each site, which may differ from site to site.
+
+    ``provider_ord`` decides ties and is numbered anew from 0 per site; equal
+    numbers go by name. Rows without a site or provider are left out, and of
+    several rows of a provider the one with the lowest number counts.
+    """
+    rows = spark.read.parquet(path).where("site_id IS NOT NULL AND provider IS NOT NULL")
+    others = [c for c in rows.columns if c not in ("site_id", "provider", "provider_ord")]
+    one = rows.groupBy("site_id", "provider").agg(F.min(F.struct("provider_ord", *others)).alias("_row"))
+    # A site has a handful of providers, so its window is small.
+    order = Window.partitionBy("site_id").orderBy(F.col("_row.provider_ord").asc_nulls_last(), "provider")
+    return one.select(
+        "site_id",
+        "provider",
+        (F.row_number().over(order) - 1).cast("int").alias("provider_ord"),
+        *[F.col(f"_row.{c}").alias(c) for c in others],
+    )

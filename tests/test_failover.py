@@ -9,6 +9,7 @@ from pathmeter import params as P
 from pathmeter.functions import steps
 from pathmeter.operators import failover
 from pathmeter.params import FailoverParams
+from pathmeter.sources import providers
 
 FAIL = None
 # (name, initial, cycles, [(current, reason, counter, new, previous)])
@@ -71,16 +72,40 @@ def random_cycles(n, providers, seed):
     return out
 
 
-@pytest.mark.parametrize("providers,chunk", [(2, 7), (3, 16), (4, 5)])
-def test_parallel_fold_equals_direct_fold(spark, providers, chunk):
+@pytest.mark.parametrize("count,chunk", [(2, 7), (3, 16), (4, 5)])
+def test_parallel_fold_equals_direct_fold(spark, count, chunk):
     """A hot site with most of the cycles, and sites that fill part of a chunk."""
-    names = [f"P{i}" for i in range(providers)]
-    sites = {0: random_cycles(900, providers, 1), 1: random_cycles(37, providers, 2), 2: random_cycles(1, providers, 3)}
+    names = [f"P{i}" for i in range(count)]
+    sites = {0: random_cycles(900, count, 1), 1: random_cycles(37, count, 2), 2: random_cycles(1, count, 3)}
     data = [r for s, cycles in sites.items() for r in rows(cycles, s, names)]
     got = collected(failover.fold(frame(spark, data), names, chunk=chunk), names)
     assert got == {s: [d[:4] for d in naive_fold(c)] for s, c in sites.items()}
 
 
+def test_sites_with_their_own_providers(spark, tmp_path):
+    """One to four providers, in their own order, with rows of others beside them."""
+    sets = {0: ["B", "A"], 1: ["A", "B", "C"], 2: ["C"], 3: ["D", "C", "B", "A"], 4: ["B", "C", "A"]}
+    cycles = {s: random_cycles(60 if s else 400, len(names), s + 40) for s, names in sets.items()}
+    data = [r for s, names in sets.items() for r in rows(cycles[s], s, names)]
+    stray = rows(random_cycles(5, 1, 9), 2, ["A"]) + rows(random_cycles(4, 1, 8), 9, ["A"])
+    listed = [(s, p, 3 * i - 7) for s, names in sets.items() for i, p in enumerate(names)] + [(None, "A", 0), (0, None, 1), (0, "A", 50)]
+    spark.createDataFrame(listed, "site_id bigint, provider string, provider_ord int").write.parquet(str(tmp_path / "d"))
+    dimension = providers.read_dimension(spark, str(tmp_path / "d"))
+    measured = frame(spark, data + stray)
+    got = failover.fold_by_site(measured, dimension, chunk=16).collect()
+    for s, names in sets.items():
+        mine = sorted((r for r in got if r.site_id == s), key=lambda r: r.cycle)
+        index = {p: i for i, p in enumerate(names)} | {None: None}
+        assert [(index[r.current_provider], r.reason, r.counter, index[r.new_provider]) for r in mine] == [
+            d[:4] for d in naive_fold(cycles[s])
+        ]
+    assert {r.site_id for r in got} == set(sets)
+    assert {tuple(r) for r in failover.unlisted_by_site(measured, dimension).collect()} == {(2, "A", 5), (9, "A", 4)}
+    with pytest.raises(ValueError):
+        failover.fold_by_site(measured, dimension, FailoverParams(initial=1))
+    assert failover.fold_by_site(measured, dimension.where("false")).count() == 0
+
+
 def test_long_streak_keeps_its_count_over_chunks(spark):
     cycles = [(12, 10)] * 100 + [(30, 10)]
     got = collected(failover.fold(frame(spark, rows(cycles)), PROVIDERS, chunk=8))[0]
