@@ -112,9 +112,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, le
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
     mi, mj = left["copies"].to_numpy(np.float64), other["copies"].to_numpy(np.float64)
-    lower = sorted({f for leaf_ids in left["leaves"] for f in leaf_ids if f < leaf})
-    place = {f: k for k, f in enumerate(lower)}
-    a, b = (_membership(part["leaves"], place) for part in (left, other))
+    shared = None
     ni, nj = np.zeros(len(ids)), np.zeros(len(jds))
     label_i, label_j = np.arange(len(ids)), (np.arange(len(ids)) if same else len(ids) + np.arange(len(jds)))
     near = []
@@ -125,7 +123,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, le
         if not hit.any():
             continue
         near.append((s, np.packbits(hit, axis=1)))
-        own = hit & (a[s : s + _STEP] @ b.T == 0) if len(lower) else hit
+        if shared is None:
+            shared = _shared(left["leaves"], other["leaves"], leaf)
+        own = hit & ~shared[s : s + _STEP]
         ni[s : s + _STEP] += own @ mj
         nj += mi[s : s + _STEP] @ own
     names = np.concatenate([ids] if same else [ids, jds])
@@ -147,15 +147,34 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, le
     return counts[counts["n"] > 0], pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
 
 
-def _membership(leaf_ids: pd.Series, place: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(leaf_ids), len(place)), np.float32)
-    for i, row in enumerate(leaf_ids):
-        for f in row:
-            if f in place:
-                out[i, place[f]] = 1
+def _shared(left: pd.Series, right: pd.Series, leaf: int) -> np.ndarray:
+    """Whether rows of two parts meet in a leaf with a number below ``leaf``.
+
+    Marked leaf by leaf, so memory is one byte for each pair of rows, however
+    many leaves they touch.
+    """
+    out = np.zeros((len(left), len(right)), bool)
+    mine, theirs = _members(left, leaf), _members(right, leaf)
+    for number, rows in mine.items():
+        others = theirs.get(number)
+        if others is not None:
+            out[rows[:, None], others] = True
     return out
 
 
+def _members(leaf_ids: pd.Series, leaf: int) -> dict[int, np.ndarray]:
+    """Rows by leaf, for the leaves with a number below ``leaf``."""
+    sizes = [len(row) for row in leaf_ids]
+    if not sum(sizes):
+        return {}
+    numbers = np.concatenate([np.asarray(row, np.int64) for row in leaf_ids])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    lower = numbers < leaf
+    order = np.argsort(numbers[lower], kind="stable")
+    found, starts = np.unique(numbers[lower][order], return_index=True)
+    return dict(zip(found.tolist(), np.split(rows[lower][order], starts[1:]))) if len(found) else {}
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding",
     trees: int | None = None, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,

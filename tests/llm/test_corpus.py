@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -326,3 +327,27 @@ def test_products_wrap_around_only_inside():
     with pytest.raises(OverflowError):
         search.products(q, c)
     assert search.products(q, c[:1]).tolist() == [[35]]
+
+
+def test_pairs_are_counted_in_the_lowest_leaf_they_share():
+    rng = np.random.default_rng(3)
+
+    def part(n, first):
+        kept = [sorted(rng.choice(12, rng.integers(0, 5), replace=False).tolist()) for _ in range(n)]
+        near = [v for v in np.array([1.0, 0, 0]) + 0.3 * rng.standard_normal((n, 3))]
+        return pd.DataFrame({"id": np.arange(first, first + n), "v": near, "copies": rng.integers(1, 4, n), "leaves": kept})
+
+    for n in (1, 30, 600):
+        left, right = part(n, 0), part(n + 1, 10_000)
+        for other in (None, right):
+            counts, _ = forest.compare(left, other, 0.9, 7)
+            want = {}
+            rows, cols = list(left.itertuples()), list((left if other is None else other).itertuples())
+            lower = [{f for f in r.leaves if f < 7} for r in cols]
+            own = [{f for f in r.leaves if f < 7} for r in rows]
+            x, y = (np.array([r.v / np.linalg.norm(r.v) for r in part]) for part in (rows, cols))
+            for i, j in np.argwhere(x @ y.T >= 0.9):
+                if (other is not None or i < j) and not own[i] & lower[j]:
+                    want[rows[i].id] = want.get(rows[i].id, 0) + cols[j].copies
+                    want[cols[j].id] = want.get(cols[j].id, 0) + rows[i].copies
+            assert counts.groupby("id")["n"].sum().to_dict() == want
