@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ SEED = 42
 CELL_ROWS = 16_384
 #: Shingles hashed at once.
 STEP = 65_536
+#: Shingles mixed with all seeds of the cell keys at once, few enough to stay in the cache.
+KEY_STEP = 4096
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _EVEN = 0x5555555555555555
 
@@ -74,7 +77,7 @@ def shingle_hashes(words: list[bytes], width: int, seeds: tuple[int, ...]) -> It
     digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), STEP):
         grams = [joined[a:b] for a, b in zip(starts[i : i + STEP], ends[i : i + STEP])]
-        yield np.array([[digest(g, s) for g in grams] for s in seeds], np.uint64).T
+        yield np.stack([np.fromiter(map(digest, grams, repeat(s)), np.uint64, len(grams)) for s in seeds], 1)
 
 
 def fingerprint(data: bytes, width: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -106,14 +109,18 @@ def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...], text: str
     return docs.select(F.col(key).alias("id"), words(F.col(text).cast("binary")).alias("words"))
 
 
-def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Further hashes of the same shingles (the finalizer of SplitMix64); SEED gives them as they are."""
-    if seed == SEED:
-        return hashes
-    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
+def mixed(hashes: np.ndarray, seeds: tuple[int, ...] | range) -> np.ndarray:
+    """Further hashes of the same shingles, one row per seed (the finalizer of SplitMix64); SEED gives them as they are."""
+    add = np.array([s * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for s in seeds], np.uint64)
+    z = hashes + add[:, None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    for i, s in enumerate(seeds):
+        if s == SEED:
+            z[i] = hashes
+    return z
 
 
 def shingle_set(data: bytes, width: int) -> np.ndarray:
@@ -127,8 +134,8 @@ def set_fingerprint(shingles: np.ndarray, seeds: tuple[int, ...]) -> list[int]:
     ones = np.zeros((8 * len(seeds), 256), np.int64)
     shift = 256 * np.arange(8 * len(seeds))
     for i in range(0, len(shingles), STEP):
-        hashes = np.stack([mixed(shingles[i : i + STEP], s) for s in seeds], 1)
-        as_bytes = hashes.view(np.uint8).reshape(len(hashes), -1)
+        hashes = mixed(shingles[i : i + STEP], seeds).T
+        as_bytes = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
         ones += np.bincount((as_bytes + shift).ravel(), minlength=ones.size).reshape(ones.shape)
     bits = (ones @ _BITS).ravel() * 2 > len(shingles)
     return np.packbits(bits, bitorder="little").view(np.int64).tolist()
@@ -139,9 +146,9 @@ def least_keys(shingles: np.ndarray) -> list[int]:
     if not len(shingles):
         return [0] * KEYS
     least = np.full(KEYS * LEAST, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(shingles), STEP):
-        part = shingles[i : i + STEP]
-        least = np.minimum(least, [mixed(part, KEY_SEED + n).min() for n in range(KEYS * LEAST)])
+    seeds = range(KEY_SEED, KEY_SEED + KEYS * LEAST)
+    for i in range(0, len(shingles), KEY_STEP):
+        least = np.minimum(least, mixed(shingles[i : i + KEY_STEP], seeds).min(axis=1))
     return [xxhash.xxh64_intdigest(k.tobytes(), SEED) & (1 << 30) - 1 for k in least.reshape(KEYS, LEAST)]
 
 
@@ -155,7 +162,8 @@ def sketch(shingles: np.ndarray) -> list[int]:
     if not n:
         return [0] * SKETCHES
     bins = np.arange(64 * SKETCHES)
-    hashes = np.stack([np.sort(mixed(shingles, SKETCH_SEED + i)) for i in range(SKETCHES)])
+    hashes = mixed(shingles, range(SKETCH_SEED, SKETCH_SEED + SKETCHES))
+    hashes.sort(axis=1)
     at = ((hashes >> np.uint64(58)).astype(np.int64) + 64 * np.arange(SKETCHES)[:, None]).ravel()
     first = np.searchsorted(at, bins)
     there = np.flatnonzero(at[np.minimum(first, at.size - 1)] == bins)
@@ -165,7 +173,7 @@ def sketch(shingles: np.ndarray) -> list[int]:
     after = np.where(after < own[turn + 1], after, own[turn])
     borrowed = there[after]
     away = ((borrowed - bins) % 64).astype(np.uint64)
-    values = mixed(hashes.ravel()[first[borrowed]] + away * np.uint64(0x9E3779B97F4A7C15), 1)
+    values = mixed(hashes.ravel()[first[borrowed]] + away * np.uint64(0x9E3779B97F4A7C15), (1,))[0]
     return np.packbits((values & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
