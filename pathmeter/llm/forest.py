@@ -22,6 +22,14 @@ TREES_PER_LEVEL = 0.8
 LEAF_ROWS = 512
 #: About this many vectors at most fix the split points of the trees; every vector is then indexed.
 FIT_VECTORS = 100_000
+#: And at most this many of their components, as the driver holds them.
+FIT_COMPONENTS = 12_800_000
+#: Leaves with more rows are split again from about LEAF_FIT rows of their own.
+SPLIT_ROWS = 16_384
+LEAF_FIT = 4096
+#: A leaf is left whole if its parts would take more than this share of its comparisons, or lie deeper than so many levels.
+WORTH = 0.5
+DEEPEST = 48
 #: Sampled rows a leaf has at least, so that split points stay meaningful.
 LEAF_SAMPLE = 16
 #: Rows on either side of a split nearer than this over sqrt(dimensions) go both ways.
@@ -39,40 +47,59 @@ class Tree:
     splits: np.ndarray
 
 
+def levels(rows: int, leaf: int) -> int:
+    """Levels of halving after which ``rows`` rows leave about ``leaf`` in a leaf."""
+    depth = 0
+    while rows / 2 ** (depth + 1) >= leaf / 2:
+        depth += 1
+    return depth
+
+
+def _sampled_levels(wanted: int, sample: int) -> int:
+    """Of the wanted levels, those after which LEAF_SAMPLE of the sampled rows are left in a leaf."""
+    return min(wanted, max(0, (sample // LEAF_SAMPLE).bit_length() - 1))
+
+
+def _directions(rng: np.random.Generator, depth: int, dims: int) -> np.ndarray:
+    directions = rng.standard_normal((max(depth, 1), dims))
+    return (directions / np.linalg.norm(directions, axis=1, keepdims=True))[:depth]
+
+
+def _tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+    """Random directions, and split points near the medians where the fewest sampled rows lie within the spill margin."""
+    dims = sample.shape[1]
+    margin = SPILL / np.sqrt(dims)
+    directions = _directions(rng, depth, dims)
+    splits = np.zeros(1 << depth)
+    node = np.ones(len(sample), np.int64)
+    for level in range(depth):
+        along = sample @ directions[level]
+        order = np.lexsort((along, node))
+        bounds = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
+        for n in range(1 << level, 2 << level):
+            part = along[order[bounds[n - (1 << level)] : bounds[n - (1 << level) + 1]]]
+            if len(part):
+                tries = np.quantile(part, np.linspace(0.35, 0.65, 13))
+                close = np.searchsorted(part, tries + margin) - np.searchsorted(part, tries - margin)
+                splits[n] = tries[np.lexsort((np.abs(np.arange(13) - 6), close))[0]]
+        node = 2 * node + (along > splits[node])
+    return Tree(directions, splits)
+
+
 def grow(sample: np.ndarray, rows: int, trees: int | None = None, leaf: int = LEAF_ROWS, seed: int = 4) -> list[Tree]:
     """Random splits of the unit vectors ``sample`` so deep that ``rows`` rows leave about ``leaf`` in a leaf.
 
     A node is split near its median, between the 35 and 65 percent quantiles,
-    where the fewest sampled rows lie within the spill margin. Without ``trees``
-    their number follows the depth.
+    where the fewest sampled rows lie within the spill margin. Where the sample
+    is too small for that depth the trees end before it, and ``deepen`` goes on.
+    Without ``trees`` their number follows the depth wanted.
     """
     rng = np.random.default_rng(seed)
-    depth = 0
-    while rows / 2 ** (depth + 1) >= leaf / 2 and len(sample) / 2 ** (depth + 1) >= LEAF_SAMPLE:
-        depth += 1
+    wanted = levels(rows, leaf)
     if trees is None:
-        trees = TREES + ceil(TREES_PER_LEVEL * max(0, depth - 2))
-    dims = sample.shape[1]
-    margin = SPILL / np.sqrt(dims)
-    forest = []
-    for _ in range(trees):
-        directions = rng.standard_normal((max(depth, 1), dims))
-        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-        splits = np.zeros(1 << depth)
-        node = np.ones(len(sample), np.int64)
-        for level in range(depth):
-            along = sample @ directions[level]
-            order = np.lexsort((along, node))
-            bounds = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
-            for n in range(1 << level, 2 << level):
-                part = along[order[bounds[n - (1 << level)] : bounds[n - (1 << level) + 1]]]
-                if len(part):
-                    tries = np.quantile(part, np.linspace(0.35, 0.65, 13))
-                    close = np.searchsorted(part, tries + margin) - np.searchsorted(part, tries - margin)
-                    splits[n] = tries[np.lexsort((np.abs(np.arange(13) - 6), close))[0]]
-            node = 2 * node + (along > splits[node])
-        forest.append(Tree(directions[:depth], splits))
-    return forest
+        trees = TREES + ceil(TREES_PER_LEVEL * max(0, wanted - 2))
+    depth = _sampled_levels(wanted, len(sample))
+    return [_tree(sample, depth, rng) for _ in range(trees)]
 
 
 def leaves(forest: list[Tree], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +202,77 @@ def _members(leaf_ids: pd.Series, leaf: int) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.split(rows[lower][order], starts[1:]))) if len(found) else {}
 
 
+def subtree(leaf: int, sample: np.ndarray, rows: int, leaf_rows: int) -> Tree | None:
+    """The splits of one large leaf, fitted on some of its unit vectors; None where they save too little."""
+    depth = _sampled_levels(levels(rows, leaf_rows), len(sample))
+    if not depth:
+        return None
+    tree = _tree(sample, depth, np.random.default_rng([4, leaf]))
+    sizes = np.unique(leaves([tree], sample)[1], return_counts=True)[1].astype(float)
+    return tree if (sizes**2).sum() <= WORTH * len(sample) ** 2 else None
+
+
+def deepen(dealt: DataFrame, trees: int, dims: int, leaf_rows: int, split_rows: int = SPLIT_ROWS, fit_rows: int = LEAF_FIT) -> DataFrame:
+    """Split leaves of more than ``split_rows`` rows again, so that leaves do not grow with the table.
+
+    ``dealt`` has (node, v, copies, leaves). Each round fits one subtree per
+    large leaf, in tasks, on about ``fit_rows`` of its own rows, and deals all
+    of its rows by it; the parts that are still large go on. Nodes are numbered
+    on as in a heap, so a leaf keeps a number of its own. A leaf whose rows lie
+    too near each other to be parted stays whole and is compared in parts.
+    """
+    large = _large(dealt.select(F.explode("leaves").alias("leaf")), split_rows, trees)
+    while not large.isEmpty():
+
+        def fit(names: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            made = subtree(int(names[0]), _projected(frame["v"], dims), int(frame["n"].iloc[0]), leaf_rows)
+            return pd.DataFrame({"leaf": [int(names[0])], "splits": [made.splits.tolist() if made else None]})
+
+        some = dealt.select("node", F.explode("leaves").alias("leaf")).join(large, "leaf")
+        some = some.where(F.pmod(F.xxhash64("node", "leaf"), "n") < fit_rows).join(dealt.select("node", "v"), "node")
+        some = some.select("leaf", "v", "n")
+        grown = materialize(some.groupBy("leaf").applyInPandas(fit, "leaf long, splits array<double>"), "subtrees").where("splits is not null")
+
+        def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for leaf, part in frame.groupby("leaf"):
+                    splits = np.asarray(part["splits"].iloc[0])
+                    depth = len(splits).bit_length() - 1
+                    directions = _directions(np.random.default_rng([4, int(leaf)]), depth, dims)
+                    row, node = leaves([Tree(directions, splits)], _projected(part["v"], dims))
+                    base, tree = divmod(int(leaf), trees)
+                    made = ((base - 1 << depth) + node) * trees + tree
+                    yield pd.DataFrame({"node": part["node"].to_numpy()[row], "leaf": leaf, "made": made})
+
+        held = dealt.select("node", "v", F.explode("leaves").alias("leaf"))
+        moved = held.join(grown, "leaf").select("node", "leaf", "v", "splits")
+        moved = materialize(moved.mapInPandas(deal, "node long, leaf long, made long"), "moved")
+        each = moved.groupBy("node").agg(F.collect_set("leaf").alias("old"), F.collect_list("made").alias("new"))
+        now = F.array_sort(F.concat(F.array_except("leaves", "old"), "new"))
+        dealt = dealt.join(each, "node", "left").select(
+            "node", "v", "copies", F.when(F.col("old").isNull(), F.col("leaves")).otherwise(now).alias("leaves"),
+        )
+        dealt = materialize(dealt, "leaves")
+        large = _large(moved.select(F.col("made").alias("leaf")), split_rows, trees)
+    return dealt
+
+
+def _large(member: DataFrame, split_rows: int, trees: int) -> DataFrame:
+    """(leaf, n) of the leaves to be split again."""
+    sizes = member.groupBy("leaf").agg(F.count("*").alias("n"))
+    return materialize(sizes.where((F.col("n") > split_rows) & (F.col("leaf") < F.lit(trees << DEEPEST))), "large")
+
+
+def _projected(column: pd.Series, dims: int) -> np.ndarray:
+    """Unit vectors of ``dims`` components, shorter ones ending in zeros."""
+    x = matrix(column)
+    return _unit(np.pad(x, ((0, 0), (0, dims - x.shape[1]))))
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding",
     trees: int | None = None, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,
+    fit_vectors: int = FIT_VECTORS, split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """One row per input row: (key, n_links, component_id, kept).
 
@@ -187,33 +282,34 @@ def near_duplicates(
     null, empty, zero or hold null or non-finite components, and rows without a
     key, link with nothing: n_links 0, component_id the own key. Shorter
     vectors count as ending in zeros. Rows with one key and several vectors
-    share a component.
+    share a component. About ``fit_vectors`` vectors at most (fewer, if they have
+    more than FIT_COMPONENTS components) fix the upper levels of the trees;
+    leaves of more than ``split_rows`` rows are split further from their own rows.
     """
     good = finite(embedding) & F.exists(F.col(embedding), lambda x: x != 0) & F.col(key).isNotNull()
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(good, v).alias("v"))
     nodes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    total = nodes.count()
+    total, widest = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not total:
         return _named(rows, None, None, key)
-    share = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(total)) < FIT_VECTORS
-    sample = _unit(matrix(nodes.where(share).select("v").toPandas()["v"]))
-    forest = vectors.sparkSession.sparkContext.broadcast(grow(sample, total, trees, leaf_rows))
-    dims = sample.shape[1]
+    share = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(total)) < max(1, min(fit_vectors, FIT_COMPONENTS // widest))
+    sample = _projected(nodes.where(share).select("v").toPandas()["v"], widest)
+    grown = grow(sample, total, trees, leaf_rows)
+    forest = vectors.sparkSession.sparkContext.broadcast(grown)
+    dims = widest
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = matrix(frame["v"])
-            x = np.pad(x, ((0, 0), (0, max(0, dims - x.shape[1]))))[:, :dims]
-            row, leaf = leaves(forest.value, _unit_or_zero(x))
+            row, leaf = leaves(forest.value, _projected(frame["v"], dims))
             order = np.lexsort((leaf, row))
             cuts = np.searchsorted(row[order], np.arange(len(frame) + 1))
             frame["leaves"] = [leaf[order[a:b]].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
             yield frame
 
     dealt = nodes.select("node", "v", "copies").mapInPandas(deal, "node long, v array<double>, copies long, leaves array<bigint>")
-    dealt = materialize(dealt, "leaves")
+    dealt = deepen(materialize(dealt, "leaves"), len(grown), dims, leaf_rows, split_rows)
     sizes = dealt.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("leaf", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")), "leaf-sizes")
     spread = dealt.withColumn("leaf", F.explode("leaves")).join(sizes, "leaf")
@@ -242,18 +338,6 @@ def near_duplicates(
     return _named(rows, nodes, (counts, linked), key)
 
 
-def _unit_or_zero(x: np.ndarray) -> np.ndarray:
-    """Unit vectors; a vector whose leading dimensions are all zero stays zero."""
-    zero = ~x.any(axis=1)
-    if zero.any():
-        x = x.copy()
-        x[zero, 0] = 1.0
-        out = _unit(x)
-        out[zero] = 0.0
-        return out
-    return _unit(x)
-
-
 def _named(rows: DataFrame, nodes: DataFrame | None, found: tuple[DataFrame, DataFrame] | None, key: str) -> DataFrame:
     if nodes is None:
         named = rows.select(F.col("id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -193,6 +193,35 @@ def test_forest_links_are_those_of_all_pairs(spark):
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_leaves_are_split_from_their_own_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1_200, 16))
+    x[600:900] = x[:300] + 0.05 * rng.standard_normal((300, 16))
+    x[900:] = x[7] + 0.02 * rng.standard_normal((300, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    trees = forest.grow(unit[::30], 1_200, 3, 64)
+    row, leaf = forest.leaves(trees, unit)
+    rows = [(int(i), x[i].tolist(), 1, sorted(leaf[row == i].tolist())) for i in range(len(x))]
+    dealt = spark.createDataFrame(rows, "node long, v array<double>, copies long, leaves array<bigint>")
+    out = {r.node: r.leaves for r in forest.deepen(dealt, 3, 16, 64, split_rows=200).collect()}
+    assert len(trees[0].directions) == 1 and sorted(out) == list(range(len(x)))
+    # Every row stays in a leaf of each tree, below the leaves it was in, and no leaf of its own comes twice.
+    for i, _, _, before in rows:
+        assert {n % 3 for n in out[i]} == {0, 1, 2} and out[i] == sorted(set(out[i]))
+        for n in out[i]:
+            above = n // 3
+            while above * 3 + n % 3 not in before:
+                above >>= 1
+                assert above
+    sizes = Counter(n for found in out.values() for n in found)
+    # The rows near x[7] cannot be parted; leaves without them are small.
+    assert max(n for name, n in sizes.items() if name not in out[7]) <= 200 < max(Counter(leaf.tolist()).values())
+    df = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(df, leaf_rows=64, part_rows=150, fit_vectors=32, split_rows=200).collect()}
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_deep_trees_find_the_pairs_of_a_hot_group():
     rng = np.random.default_rng(5)
     centre = np.eye(64)[3]
