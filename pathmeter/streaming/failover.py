@@ -1,16 +1,19 @@
 """Provider selection as a stateful stream keyed by site.
 
 The state of a site (selection, last scores, cycles still waiting for a
-provider) lives in RocksDB and survives lost executors through the checkpoint.
-Micro-batches should stay small (``maxFilesPerTrigger``): long histories belong
-to the batch fold, which splits a site over many tasks and whose
+provider) lives in RocksDB and survives lost executors through the checkpoint. A task's
+memory does not grow with the micro-batch, in whatever order its rows come.
+Still, micro-batches should stay small (``maxFilesPerTrigger``): long histories
+belong to the batch fold, which splits a site over many tasks and whose
 :func:`pathmeter.operators.failover.final_states` can start this stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +36,23 @@ SELECTION = T.StructType(
         T.StructField("before_last", T.IntegerType()),
         T.StructField("next_cycle", T.LongType()),
         T.StructField("history", T.ArrayType(T.DoubleType())),
+        # The time of the one timer that is set; -1: none.
+        T.StructField("alarm", T.LongType()),
     ]
 )
-CYCLE = T.StructType([T.StructField("cycle", T.LongType())])
-WAITING = T.StructType(
-    [T.StructField("ts", T.LongType()), T.StructField("figures", T.ArrayType(T.DoubleType()))]
-)
+# Waiting cycles by span: how many parts hold its rows, and a time none of its cycles was complete before.
+SPAN_KEY = T.StructType([T.StructField("span", T.LongType())])
+SPAN_INFO = T.StructType([T.StructField("parts", T.IntegerType()), T.StructField("first_ts", T.LongType())])
+PART_KEY = T.StructType([T.StructField("span", T.LongType()), T.StructField("part", T.IntegerType())])
+PART = T.StructType([T.StructField("rows", T.BinaryType())])
+ROW = np.dtype([("cycle", "<i8"), ("order", "<i4"), ("ts", "<i8"), ("figures", "<f8", (len(_FIGURES),))])
+
+# Cycles of one span, rows of later spans held before they go to the state
+# store, parts of a span before they are made one, decisions in one frame.
+SPAN = 256
+HELD = 1 << 16
+PARTS = 64
+FRAME = 4096
 
 
 def output_schema(n: int) -> T.StructType:
@@ -66,6 +80,131 @@ def output_schema(n: int) -> T.StructType:
     )
 
 
+class _Waiting:
+    """The cycles of one site that cannot be taken yet.
+
+    Only the span of the next cycle is open, with an entry per cycle. Rows of
+    later spans are kept as they came, at most ``HELD`` of them here and the
+    rest in the state store, so memory depends neither on how many cycles wait
+    nor on the order of the rows.
+    """
+
+    def __init__(self, spans, parts, n: int, next_cycle: int):
+        self.spans, self.parts, self.n = spans, parts, n
+        self.index = {span: tuple(info) for (span,), info in list(spans.iterator())}
+        self.stored = dict(self.index)
+        self.held: dict[int, list[np.ndarray]] = {}
+        self.n_held = 0
+        self._open(next_cycle // SPAN)
+
+    def add(self, rows: np.ndarray) -> None:
+        """Rows of cycles not yet taken; of a cycle and provider the last one holds."""
+        spans = rows["cycle"] // SPAN
+        here = spans == self.span
+        if here.any():
+            self._merge(self.entries, rows[here])
+            self.touched = True
+        rest, spans = rows[~here], spans[~here]
+        if len(rest):
+            order = np.argsort(spans, kind="stable")
+            cuts = np.flatnonzero(np.diff(spans[order])) + 1
+            for part in np.split(rest[order], cuts):
+                self.held.setdefault(int(part["cycle"][0]) // SPAN, []).append(part.copy())
+            self.n_held += len(rest)
+            if self.n_held > HELD:
+                self._put_held()
+
+    def pop(self, cycle: int) -> list:
+        self.touched = True
+        return self.entries.pop(cycle)
+
+    def go_to(self, span: int) -> None:
+        """Open another span; the one left must be taken whole."""
+        if span != self.span:
+            self._forget(self.span)
+            self._open(span)
+
+    def spans_up_to(self, last: int) -> list[int]:
+        return sorted(span for span in {*self.index, self.span} if span <= last)
+
+    def last_overdue(self, ts: int) -> int | None:
+        """The last cycle whose newest row is not after ``ts``; on the way the times of the spans become exact."""
+        for span in sorted((s for s, (_, first) in self.index.items() if first <= ts), reverse=True):
+            entries = self._entries(span)
+            overdue = [cycle for cycle, (at, _) in entries.items() if at <= ts]
+            if overdue:
+                # Later cycles of this span stay, and may be due only after that.
+                return max(overdue)
+            self.index[span] = (self.index[span][0], min(at for at, _ in entries.values()))
+        return None
+
+    def first_ts(self) -> int | None:
+        return min((first for _, first in self.index.values()), default=None)
+
+    def store(self) -> None:
+        self._put_held()
+        if self.touched:
+            self._put_whole(self.span, self.entries)
+        for span in self.stored.keys() - self.index.keys():
+            self.spans.removeKey((span,))
+        for span, info in self.index.items():
+            if self.stored.get(span) != info:
+                self.spans.updateValue((span,), info)
+
+    def _open(self, span: int) -> None:
+        self.span = span
+        self.entries = self._entries(span)
+        held = self.held.pop(span, [])
+        for rows in held:
+            self._merge(self.entries, rows)
+            self.n_held -= len(rows)
+        self.touched = bool(held)
+
+    def _entries(self, span: int) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for part in range(self.index.get(span, (0, 0))[0]):
+            self._merge(out, np.frombuffer(self.parts.getValue((span, part))[0], ROW))
+        return out
+
+    def _merge(self, entries: dict[int, list], rows: np.ndarray) -> None:
+        width = len(_FIGURES)
+        for cycle, order, ts, figures in zip(*[rows[name].tolist() for name in ROW.names]):
+            entry = entries.setdefault(cycle, [ts, [None] * (self.n * width)])
+            entry[0] = max(entry[0], ts)
+            entry[1][order * width : (order + 1) * width] = figures
+
+    def _put_held(self) -> None:
+        for span, arrays in self.held.items():
+            rows = np.concatenate(arrays)
+            count, first = self.index.get(span, (0, int(rows["ts"].min())))
+            if count >= PARTS:
+                entries = self._entries(span)
+                self._merge(entries, rows)
+                self._put_whole(span, entries)
+                continue
+            self.parts.updateValue((span, count), (rows.tobytes(),))
+            self.index[span] = (count + 1, min(first, int(rows["ts"].min())))
+        self.held.clear()
+        self.n_held = 0
+
+    def _put_whole(self, span: int, entries: dict[int, list]) -> None:
+        self._forget(span)
+        if entries:
+            width = len(_FIGURES)
+            rows = [
+                (cycle, order, ts, figures[order * width : (order + 1) * width])
+                for cycle, (ts, figures) in entries.items()
+                for order in range(self.n)
+                if figures[order * width] is not None
+            ]
+            self.parts.updateValue((span, 0), (np.array(rows, ROW).tobytes(),))
+            self.index[span] = (1, min(ts for ts, _ in entries.values()))
+
+    def _forget(self, span: int) -> None:
+        for part in range(self.index.pop(span, (0, 0))[0]):
+            self.parts.removeKey((span, part))
+
+
 class SelectionProcessor(StatefulProcessor):
     """Steps one site through its cycles in order.
 
@@ -84,7 +223,8 @@ class SelectionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.selection = handle.getValueState("selection", SELECTION)
-        self.waiting = handle.getMapState("waiting", CYCLE, WAITING)
+        self.spans = handle.getMapState("spans", SPAN_KEY, SPAN_INFO)
+        self.parts = handle.getMapState("parts", PART_KEY, PART)
 
     def close(self) -> None:
         pass
@@ -99,100 +239,97 @@ class SelectionProcessor(StatefulProcessor):
                 int(row["before_last"]),
                 int(row["cycle"]) + 1,
                 [float(x) for x in row["history"]],
+                -1,
             )
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self._load()
-        stored = self._stored()
-        entries = {cycle: [ts, list(figures)] for cycle, (ts, figures) in stored.items()}
+        waiting = _Waiting(self.spans, self.parts, self.n, state["next_cycle"])
         # Complete cycles are taken after every Arrow batch, so rows that arrive
         # roughly in order never pile up.
         for pdf in rows:
-            late = self._merge(key[0], pdf, entries, state["next_cycle"])
-            yield self._frame(late + self._drain(key[0], entries, state))
-        self._keep(entries, stored, state["next_cycle"])
-        self._save(state)
+            yield self._frame(self._add(key[0], pdf, waiting, state["next_cycle"]))
+            yield from self._frames(self._drain(key[0], waiting, state))
+        self._keep(waiting, state)
 
-    def _merge(self, site_id: int, pdf: pd.DataFrame, entries: dict[int, list], next_cycle: int) -> list[dict]:
+    def _add(self, site_id: int, pdf: pd.DataFrame, waiting: _Waiting, next_cycle: int) -> list[dict]:
         """Put the rows to their waiting cycles; those of cycles already taken are returned."""
-        late = []
-        width = len(_FIGURES)
-        figures = pdf[_FIGURES].to_numpy()
-        for cycle, order, ts, values in zip(
-            pdf["cycle"].tolist(), pdf["provider_ord"].tolist(), pdf["ts_micros"].tolist(), figures
-        ):
-            if cycle >= next_cycle:
-                entry = entries.setdefault(cycle, [ts, [None] * (self.n * width)])
-                entry[0] = max(entry[0], ts)
-                entry[1][order * width : (order + 1) * width] = [float(v) for v in values]
-            else:
-                late.append({"site_id": site_id, "cycle": cycle, "ts_micros": ts, "late_provider": order, "late_by": next_cycle - cycle})
-        return late
-
-    def _drain(self, site_id: int, entries: dict[int, list], state: dict) -> list[dict]:
-        out = []
-        while (entry := entries.get(state["next_cycle"])) and None not in entry[1]:
-            del entries[state["next_cycle"]]
-            out.append(self._take(site_id, state["next_cycle"], entry, state))
+        rows = np.empty(len(pdf), ROW)
+        for name, column in (("cycle", "cycle"), ("order", "provider_ord"), ("ts", "ts_micros")):
+            rows[name] = pdf[column].astype("int64")
+        rows["figures"] = pdf[_FIGURES].to_numpy()
+        late = rows["cycle"] < next_cycle
+        waiting.add(rows[~late])
+        return [
+            {"site_id": site_id, "cycle": cycle, "ts_micros": ts, "late_provider": order, "late_by": next_cycle - cycle}
+            for cycle, order, ts in zip(*[rows[late][name].tolist() for name in ("cycle", "order", "ts")])
+        ]
+
+    def _drain(self, site_id: int, waiting: _Waiting, state: dict) -> Iterator[dict]:
+        """Take the cycles that are complete, up to the first that is not."""
+        waiting.go_to(state["next_cycle"] // SPAN)
+        while (entry := waiting.entries.get(state["next_cycle"])) and None not in entry[1]:
+            yield self._take(site_id, state["next_cycle"], waiting.pop(state["next_cycle"]), state)
             state["next_cycle"] += 1
-        return out
+            waiting.go_to(state["next_cycle"] // SPAN)
+
+    def _take_up_to(self, site_id: int, last: int, waiting: _Waiting, state: dict) -> Iterator[dict]:
+        """Take the waiting cycles up to ``last``, whatever they lack."""
+        for span in waiting.spans_up_to(last // SPAN):
+            waiting.go_to(span)
+            for cycle in sorted(c for c in waiting.entries if c <= last):
+                yield self._take(site_id, cycle, waiting.pop(cycle), state)
+                state["next_cycle"] = cycle + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        stored = self._stored()
-        entries = {cycle: [ts, list(figures)] for cycle, (ts, figures) in stored.items()}
-        overdue = [c for c, (ts, _) in entries.items() if ts // 1000 + self.grace_ms <= due]
+        # The timer may go off early, as spans only know a time before which nothing is due.
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         state = self._load()
-        out = []
-        if overdue:
+        waiting = _Waiting(self.spans, self.parts, self.n, state["next_cycle"])
+        # A cycle is due by the millisecond its last row falls into.
+        last = waiting.last_overdue((due - self.grace_ms) * 1000 + 999)
+        if last is not None:
             # All waiting cycles up to the overdue one, then whatever is complete.
-            for cycle in sorted(c for c in entries if c <= max(overdue)):
-                out.append(self._take(key[0], cycle, entries.pop(cycle), state))
-                state["next_cycle"] = cycle + 1
-            out += self._drain(key[0], entries, state)
-        self._keep(entries, stored, state["next_cycle"], due)
+            yield from self._frames(self._take_up_to(key[0], last, waiting, state))
+            yield from self._frames(self._drain(key[0], waiting, state))
+        self._keep(waiting, state, fired=True)
+
+    def _keep(self, waiting: _Waiting, state: dict, fired: bool = False) -> None:
+        """Store what waits and set the timer to the first time one of it may be due."""
+        waiting.store()
+        first = waiting.first_ts()
+        alarm = -1 if first is None else first // 1000 + self.grace_ms
+        if fired or alarm != state["alarm"]:
+            # A timer that has fired goes by itself.
+            if state["alarm"] >= 0 and not fired:
+                self.handle.deleteTimer(state["alarm"])
+            if alarm >= 0:
+                self.handle.registerTimer(alarm)
+        state["alarm"] = alarm
         self._save(state)
-        yield self._frame(out)
 
-    def _stored(self) -> dict[int, tuple]:
-        return {cycle: (ts, list(figures)) for (cycle,), (ts, figures) in list(self.waiting.iterator())}
+    def _frames(self, rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+        while out := list(islice(rows, FRAME)):
+            yield self._frame(out)
 
     def _load(self) -> dict:
         if self.selection.exists():
-            current, candidate, count, before_last, next_cycle, history = self.selection.get()
+            current, candidate, count, before_last, next_cycle, history, alarm = self.selection.get()
             history = list(history)
         else:
             current, candidate, count = initial_state(self.params)
-            before_last, next_cycle, history = current, self.first_cycle, []
+            before_last, next_cycle, history, alarm = current, self.first_cycle, [], -1
         return {
             "state": (current, candidate, count),
             "before_last": before_last,
             "next_cycle": next_cycle,
             "history": history,
+            "alarm": alarm,
         }
 
     def _save(self, s: dict) -> None:
-        self.selection.update((*s["state"], s["before_last"], s["next_cycle"], s["history"]))
-
-    def _keep(self, entries: dict[int, list], stored: dict[int, tuple], next_cycle: int, due: int = -1) -> None:
-        """Write the waiting cycles that changed and keep one timer for each time one of them is due.
-
-        Timers up to ``due`` are firing and go by themselves.
-        """
-        left = {cycle: (ts, figures) for cycle, (ts, figures) in entries.items() if cycle >= next_cycle}
-        for cycle in stored.keys() - left.keys():
-            self.waiting.removeKey((cycle,))
-        for cycle, entry in left.items():
-            if stored.get(cycle) != entry:
-                self.waiting.updateValue((cycle,), entry)
-        had = {ts // 1000 + self.grace_ms for ts, _ in stored.values()}
-        wanted = {ts // 1000 + self.grace_ms for ts, _ in left.values()}
-        for at in wanted - had:
-            self.handle.registerTimer(at)
-        for at in had - wanted:
-            if at > due:
-                self.handle.deleteTimer(at)
+        self.selection.update((*s["state"], s["before_last"], s["next_cycle"], s["history"], s["alarm"]))
 
     def _take(self, site_id: int, cycle: int, entry: list, s: dict) -> dict:
         """Smooth and decide one cycle; history holds the last scores, oldest first."""
@@ -237,6 +374,8 @@ class SelectionProcessor(StatefulProcessor):
     def _frame(self, rows: list[dict]) -> pd.DataFrame:
         schema = output_schema(self.n)
         pdf = pd.DataFrame(rows, columns=schema.fieldNames())
+        # Late rows alone have no reason: the column would be taken for floats.
+        pdf["reason"] = pdf["reason"].astype(object)
         for name in ("current", "new", "previous", "after_candidate", "late_provider"):
             pdf[name] = pdf[name].astype("Int32")
         for name in ("counter", "late_by"):

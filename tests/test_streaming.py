@@ -2,6 +2,7 @@ import json
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from measured import PROVIDERS, START, frame, naive_fold, rows
 from test_failover import random_cycles
@@ -149,3 +150,133 @@ def test_late_rows_are_stored_apart_and_counted(spark, tmp_path):
     assert {(r.site_id, r.cycle, r.late_by > 0) for r in got} == {(0, 3, True)}
     total = counts.groupBy().sum("decisions", "late_rows").first()
     assert tuple(total) == (30, len(got))
+
+
+class FakeHandle:
+    """State of one site in dictionaries, to run the processor without Spark."""
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Map(dict):
+        most = 0
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+            self.most = max(self.most, len(self))
+
+        def removeKey(self, key):
+            del self[key]
+
+    def __init__(self):
+        self.timers, self.maps = set(), {}
+
+    def getValueState(self, name, schema):
+        return self.Value()
+
+    def getMapState(self, name, *schemas):
+        return self.maps.setdefault(name, self.Map())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def measured_frame(data):
+    names = ["site_id", "cycle", "provider", "provider_ord", "ts", "failed", *P.METRICS]
+    pdf = pd.DataFrame(data, columns=names)
+    score = (pdf.peer_avg * 0.7 + pdf.dns_avg * 0.3) + (pdf.peer_loss + pdf.dns_loss) * 100.0 + (pdf.peer_stddev + pdf.dns_stddev) * 0.5
+    micros = (pdf.ts - pd.Timestamp("1970-01-01")) // pd.Timedelta(microseconds=1)
+    return pdf.assign(score=score, ts_micros=micros, switch_margin=5.0)
+
+
+@pytest.mark.parametrize("order", ["reversed", "shuffled"])
+def test_memory_of_the_stream_does_not_grow_with_the_batch(monkeypatch, order):
+    """Rows that come long before their turn go to the state store; decisions come out in small frames."""
+    for name, size in (("SPAN", 8), ("HELD", 100), ("PARTS", 3), ("FRAME", 64)):
+        monkeypatch.setattr(live, name, size, raising=False)
+    cycles = random_cycles(600, 2, 5)
+    data = rows(cycles)
+    data.reverse()
+    if order == "shuffled":
+        random.Random(4).shuffle(data)
+    handle = FakeHandle()
+    processor = live.SelectionProcessor(2, FailoverParams(), 120)
+    processor.init(handle)
+    batches = (measured_frame(data[i : i + 50]) for i in range(0, len(data), 50))
+    frames = list(processor.handleInputRows((0,), batches, At(0)))
+    assert max(map(len, frames)) <= 64
+    assert handle.maps["parts"].most > 10
+    out = pd.concat([f for f in frames if len(f)])
+    assert out.cycle.tolist() == list(range(600))
+    want = naive_fold(cycles)
+    assert [(r.current, r.reason, r.counter) for r in out.itertuples()] == [w[:3] for w in want]
+    assert not handle.timers and not any(handle.maps.values())
+
+
+def test_overdue_cycles_over_many_spans_are_taken_in_small_frames(monkeypatch):
+    """The first cycle never comes, so all others wait until they are overdue."""
+    for name, size in (("SPAN", 8), ("HELD", 100), ("FRAME", 64)):
+        monkeypatch.setattr(live, name, size, raising=False)
+    cycles = random_cycles(300, 2, 6)
+    data = [r for r in rows(cycles) if r[1] > 0]
+    handle = FakeHandle()
+    processor = live.SelectionProcessor(2, FailoverParams(), 120)
+    processor.init(handle)
+    assert not sum(map(len, processor.handleInputRows((0,), iter([measured_frame(data[::-1])]), At(0))))
+    # At the time of cycle 200 it and all before are overdue; the complete cycles after them follow at once.
+    at = measured_frame(data).set_index("cycle").ts_micros[200].iloc[0] // 1000 + 120_000
+    assert handle.timers == {at - 199 * 30_000}
+    handle.timers.clear()
+    frames = list(processor.handleExpiredTimer((0,), At(at), At(at)))
+    assert max(map(len, frames)) <= 64
+    out = pd.concat(frames)
+    assert out.cycle.tolist() == list(range(1, 300))
+    want = naive_fold(cycles[1:])
+    assert [(r.current, r.reason, r.counter) for r in out.itertuples()] == [w[:3] for w in want]
+    assert not handle.timers and not any(handle.maps.values())
+
+
+def test_cycles_not_yet_overdue_stay_with_a_timer(monkeypatch):
+    monkeypatch.setattr(live, "SPAN", 8, raising=False)
+    data = [r for r in rows([(6, 10)] * 60) if r[1] > 0 and (r[1] % 2 == 0 or r[2] == "P1")]
+    handle = FakeHandle()
+    processor = live.SelectionProcessor(2, FailoverParams(), 120)
+    processor.init(handle)
+    list(processor.handleInputRows((0,), iter([measured_frame(data)]), At(0)))
+    due = {c: ts // 1000 + 120_000 for c, ts in measured_frame(data)[["cycle", "ts_micros"]].itertuples(index=False)}
+    got = []
+    for c in (1, 29, 59):
+        handle.timers.clear()
+        frames = processor.handleExpiredTimer((0,), At(due[c]), At(due[c]))
+        got.append([cycle for f in frames for cycle in f.cycle])
+        assert handle.timers == ({due[got[-1][-1] + 1]} if c < 59 else set())
+    # A complete cycle after an overdue one is taken with it.
+    assert got == [[1, 2], list(range(3, 31)), list(range(31, 60))]
+
+
+def test_late_rows_alone_make_a_frame_with_text_as_reason():
+    frame = live.SelectionProcessor(2, FailoverParams(), 120)._frame([{"site_id": 0, "cycle": 1, "ts_micros": 5, "late_provider": 0, "late_by": 3}])
+    assert frame.reason.dtype == object
