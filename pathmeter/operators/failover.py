@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,23 +170,51 @@ def _unpack(row) -> list[tuple[State, bool]]:
 
 
 CYCLES = "cycle array<bigint>, best array<int>, over array<bigint>, bad array<bigint>"
+CHUNK_ROW = pa.schema(
+    [("site_id", pa.int64()), ("pos", pa.int64())]
+    + [("current", pa.list_(pa.int32())), ("candidate", pa.list_(pa.int32()))]
+    + [("count", pa.list_(pa.int64())), ("unbroken", pa.list_(pa.bool_()))]
+    + [(c, pa.list_(pa.int32() if c == "best" else pa.int64())) for c in ("cycle", "best", "over", "bad")]
+)
 
 
 def chunk_tables(cycles: DataFrame, n: int, params: FailoverParams) -> DataFrame:
-    """One row per (site, chunk): its transition table and its packed cycles."""
-    states = all_states(n, params)
+    """One row per (site, chunk): its transition table and its packed cycles.
 
-    def table_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cycle")
-        columns = {c: pdf[c].tolist() for c in ("cycle", "best", "over", "bad")}
-        packed = _pack(transition_table(zip(columns["best"], columns["over"], columns["bad"]), states, params))
-        return pd.DataFrame([{"site_id": key[0], "pos": key[1], **packed, **columns}])
+    A task steps through the rows of many chunks, so chunks may be short.
+    """
+    states = all_states(n, params)
+    packed = ("cycle", "best", "over", "bad")
+
+    def table_of(site: int | None, pos: int, columns: list[list]) -> dict:
+        table = transition_table(zip(*columns[1:]), states, params)
+        return {"site_id": site, "pos": pos, **_pack(table), **dict(zip(packed, columns))}
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            sites, chunks, firsts = (batch.column(c).to_pylist() for c in ("site_id", "_chunk", "_first"))
+            columns = [batch.column(c).to_pylist() for c in packed]
+            done, begin = [], 0
+            for at in [*(i for i, first in enumerate(firsts) if first), len(firsts)]:
+                if at > begin:
+                    held = [old + new[begin:at] for old, new in zip(held, columns)]
+                if at < len(firsts):
+                    if key is not None:
+                        done.append(table_of(*key, held))
+                    key, held = (sites[at], chunks[at]), [[] for _ in packed]
+                begin = at
+            if done:
+                yield pa.RecordBatch.from_pylist(done, CHUNK_ROW)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([table_of(*key, held)], CHUNK_ROW)
 
-    return (
-        cycles.select("site_id", "_chunk", "cycle", "best", "over", "bad")
-        .groupBy("site_id", "_chunk")
-        .applyInPandas(table_of, f"site_id bigint, pos bigint, {TABLE}, {CYCLES}")
+    # The rows of a chunk are already together; the window puts them in order and marks where a chunk begins.
+    order = Window.partitionBy("site_id", "_chunk").orderBy("cycle")
+    marked = cycles.select(
+        "site_id", "_chunk", "cycle", "best", "over", "bad", (F.row_number().over(order) == 1).alias("_first")
     )
+    return marked.mapInArrow(tables, f"site_id bigint, pos bigint, {TABLE}, {CYCLES}")
 
 
 def start_states(
@@ -294,37 +323,43 @@ def replay(chunks: DataFrame, starts: DataFrame, params: FailoverParams) -> Data
     ``reason`` an index into ``REASONS``.
     """
     codes = {reason: i for i, reason in enumerate(REASONS)}
-
-    def run(key: tuple, pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        packed, first = pdf.iloc[0], begin.iloc[0]
-        state = (int(first["start_current"]), int(first["start_candidate"]), int(first["start_count"]))
-        current, reason, count, new, candidate = [], [], [], [], []
-        for best, over, bad in zip(packed["best"].tolist(), packed["over"].tolist(), packed["bad"].tolist()):
-            before = state[0]
-            state, why = step(state, best, over, bad, params)
-            current.append(before)
-            reason.append(codes[why])
-            count.append(state[2])
-            new.append(state[0] if state[0] != before else -1)
-            candidate.append(state[1])
-        return pd.DataFrame(
-            {
-                "site_id": key[0],
-                "cycle": packed["cycle"],
-                "current": current,
-                "reason": reason,
-                "counter": count,
-                "new": new,
-                "after_candidate": candidate,
-            }
-        )
-
-    return (
-        chunks.select("site_id", "pos", "cycle", "best", "over", "bad")
-        .groupBy("site_id", "pos")
-        .cogroup(starts.groupBy("site_id", "pos"))
-        .applyInPandas(run, DECISION)
-    )
+    begin = ("start_current", "start_candidate", "start_count")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = initial_state(params)
+        for batch in batches:
+            current, reason, count, new, candidate = [], [], [], [], []
+            for at, best, over, bad, *first in zip(*[batch.column(c).to_pylist() for c in ("_at", "best", "over", "bad", *begin)]):
+                if at == 0:
+                    state = tuple(first)
+                before = state[0]
+                state, why = step(state, best, over, bad, params)
+                current.append(before)
+                reason.append(codes[why])
+                count.append(state[2])
+                new.append(state[0] if state[0] != before else -1)
+                candidate.append(state[1])
+            ints, longs = pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("site_id"),
+                    batch.column("cycle"),
+                    pa.array(current, ints),
+                    pa.array(reason, ints),
+                    pa.array(count, longs),
+                    pa.array(new, ints),
+                    pa.array(candidate, ints),
+                ],
+                ["site_id", "cycle", "current", "reason", "counter", "new", "after_candidate"],
+            )
+
+    packed = chunks.select("site_id", "pos", F.arrays_zip("cycle", "best", "over", "bad").alias("_cycles"))
+    first = starts.select(F.col("site_id").alias("_site"), F.col("pos").alias("_pos"), *begin)
+    joined = packed.join(first, F.col("site_id").eqNullSafe(F.col("_site")) & (F.col("pos") == F.col("_pos")), "left")
+    # A chunk is one row up to here, so its cycles come together and in order. One without
+    # a start state is not dropped: its step fails.
+    rows = joined.select("site_id", *begin, F.posexplode("_cycles").alias("_at", "_c"))
+    return rows.select("site_id", "_at", "_c.*", *begin).mapInArrow(run, DECISION)
 
 
 def fold(

@@ -190,3 +190,19 @@ def test_fold_over_gaps_does_not_show_the_chunk(spark):
     df = frame(spark, data).where("cycle % 13 < 8 and cycle % 50 < 30")
     got = {chunk: collected(failover.fold(df, PROVIDERS, chunk=chunk)) for chunk in (4, 2048)}
     assert got[4] == got[2048]
+
+
+def test_short_chunks_need_no_group_of_their_own(spark):
+    """A task steps through many chunks; neither chunks nor their order depend on where Arrow batches end."""
+    sites = {s: random_cycles(50, 2, 60 + s) for s in range(3)}
+    data = [r for s, c in sites.items() for r in rows(c, s)]
+    key, kept = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, 7)
+    try:
+        for chunk in (4, 20):
+            decisions = failover.fold(frame(spark, data), PROVIDERS, chunk=chunk)
+            plan = decisions._jdf.queryExecution().toString()
+            assert "MapInArrow" in plan and "InPandas " not in plan.replace("MapInPandas ", "")
+            assert collected(decisions) == {s: [w[:4] for w in naive_fold(c)] for s, c in sites.items()}
+    finally:
+        spark.conf.set(key, kept)
