@@ -1,5 +1,7 @@
 import json
+import pickle
 import random
+import tracemalloc
 from datetime import timedelta
 
 import pandas as pd
@@ -280,3 +282,70 @@ def test_cycles_not_yet_overdue_stay_with_a_timer(monkeypatch):
 def test_late_rows_alone_make_a_frame_with_text_as_reason():
     frame = live.SelectionProcessor(2, FailoverParams(), 120)._frame([{"site_id": 0, "cycle": 1, "ts_micros": 5, "late_provider": 0, "late_by": 3}])
     assert frame.reason.dtype == object
+
+
+class StoredHandle(FakeHandle):
+    """State of one site whose values lie in files, so that only the processor's own memory counts."""
+
+    class Map(FakeHandle.Map):
+        def __init__(self, folder):
+            folder.mkdir(parents=True)
+            self.folder, self.written = folder, 0
+
+        def iterator(self):
+            return ((key, self.getValue(key)) for key in list(self))
+
+        def getValue(self, key):
+            return pickle.loads((self.folder / str(self[key])).read_bytes())
+
+        def updateValue(self, key, value):
+            self.removeKey(key)
+            self.written += 1
+            (self.folder / str(self.written)).write_bytes(pickle.dumps(value))
+            self[key] = self.written
+
+        def removeKey(self, key):
+            if key in self:
+                (self.folder / str(self.pop(key))).unlink()
+
+    def __init__(self, folder):
+        super().__init__()
+        self.folder = folder
+
+    def getMapState(self, name, *schemas):
+        if name not in self.maps:
+            self.maps[name] = self.Map(self.folder / name)
+        return self.maps[name]
+
+
+def taken_at_peak(frames):
+    """Cycles that the frames hold, and the most memory it took to make them one after the other."""
+    tracemalloc.start()
+    try:
+        taken = sum(map(len, frames))
+        return taken, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def newest_first(cycles, first=0, size=200):
+    """Frames of a site's rows, made as they are asked for."""
+    for end in range(len(cycles), first, -size // 2):
+        start = max(end - size // 2, first)
+        yield measured_frame(rows(cycles[start:end], first=start)[::-1])
+
+
+def test_peak_of_a_batch_stays_when_its_rows_grow(monkeypatch, tmp_path):
+    """Newest rows first, as blocks may be fetched for the policy streams: all wait until the oldest come."""
+    for name, size in (("SPAN", 32), ("HELD", 256), ("FRAME", 64)):
+        monkeypatch.setattr(live, name, size, raising=False)
+    peaks = []
+    for count in (800, 3200):
+        handle = StoredHandle(tmp_path / str(count))
+        processor = live.SelectionProcessor(2, FailoverParams(), 120)
+        processor.init(handle)
+        cycles = random_cycles(count, 2, 7)
+        taken, peak = taken_at_peak(processor.handleInputRows((0,), newest_first(cycles), At(0)))
+        assert taken == count and not any(handle.maps.values())
+        peaks.append(peak)
+    assert peaks[1] < 1.5 * peaks[0]
