@@ -2,7 +2,7 @@ import json
 import pickle
 import random
 import tracemalloc
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -349,3 +349,21 @@ def test_peak_of_a_batch_stays_when_its_rows_grow(monkeypatch, tmp_path):
         assert taken == count and not any(handle.maps.values())
         peaks.append(peak)
     assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_peak_of_a_timer_stays_when_its_rows_grow(monkeypatch, tmp_path):
+    """The first cycle never comes, so the timer alone takes all the others."""
+    for name, size in (("SPAN", 32), ("HELD", 256), ("FRAME", 64)):
+        monkeypatch.setattr(live, name, size, raising=False)
+    peaks = []
+    for count in (800, 3200):
+        handle = StoredHandle(tmp_path / str(count))
+        processor = live.SelectionProcessor(2, FailoverParams(), 120)
+        processor.init(handle)
+        cycles = random_cycles(count, 2, 8)
+        assert not sum(map(len, processor.handleInputRows((0,), newest_first(cycles, first=1), At(0))))
+        at = At((START - datetime(1970, 1, 1)) // timedelta(milliseconds=1) + 30_000 * count + 120_000)
+        taken, peak = taken_at_peak(processor.handleExpiredTimer((0,), at, at))
+        assert taken == count - 1 and not any(handle.maps.values())
+        peaks.append(peak)
+    assert peaks[1] < 1.5 * peaks[0]
